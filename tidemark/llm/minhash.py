@@ -8,11 +8,12 @@ One hash function orders all shingles; a sketch keeps the k smallest hashes.
    enters only the lists of its first s - c + 1 values, where c values at least are shared by any two linked
    sketches (for full sketches with all but about 1e-7 of certainty at the threshold itself, and for sets smaller
    than k always). A very common value stands last in that order and so starts no long list.
-3. In each list every class meets the list's hub, the class with most shared values. Pairs whose sizes allow it are
-   estimated on the union's sketch, then confirmed on full sets, and confirmed links are joined to components.
-4. Then lists that still span several components are paired across components only, and confirmed likewise, but for
-   members that, by what they share with their hub and by what is left beside it, can be linked with no other.
-   So no link between components is lost, and a group of m near copies costs about m pairs and not m squared.
+3. In each list every class meets the list's hub, the class whose shingles are the most common ones: the pairs are
+   measured on full sets, and links are joined to components.
+4. Classes that met the same hub and are of different components yet can be linked only if both have enough in common
+   with the hub, or share shingles beside it; those shingles are joined by rarity again, now over full sets. Pairs found
+   so are estimated on the union's sketch and confirmed. So no link between components is lost, and a group of m near
+   copies costs about m pairs and not m squared.
 
 Null text, empty text and text without words have an empty set and are linked with nothing. Rows of null doc_id take
 part; they never name a component (its id is null where no member has an id). Repeated rows are equal sets.
@@ -109,22 +110,36 @@ def _sets(words: int):
     return run
 
 
-def _measured(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, floor: float) -> DataFrame:
-    """a, b, i (shingles in common), and what each has beside (ra, rb), of the pairs whose union sketch allows a link."""
+def _allowed(pairs: DataFrame, sketches: DataFrame, k: int, floor: float) -> DataFrame:
+    """The pairs (a, b) whose union sketch allows a link."""
     a, b = (sketches.select(F.col("fp").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-    near = near.where(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= floor * F.size("u")).select("a", "b")
+    return near.where(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= floor * F.size("u")).select("a", "b")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, i (shingles in common), na, nb by full sets."""
     a, b = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = near.join(a, "a").join(b, "b")
-    return both.select(
-        "a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sa", "sb").alias("ra"), F.array_except("sb", "sa").alias("rb")
-    )
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
 
 
 def _links(measured: DataFrame, percent: int) -> DataFrame:
     return measured.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys under which more than one component (c) stands, and the least n there (lo)."""
+    wide = rows.groupBy(key).agg(F.min("c").alias("p"), F.max("c").alias("q"), F.min("n").alias("lo")).where("p <> q").select(key, "lo")
+    return rows.drop("lo").join(wide, key)
+
+
+def _across(rows: DataFrame, keys: list[str], percent: int, columns: list[str]) -> DataFrame:
+    """Pairs of rows of equal keys, other components and sizes that allow a link, with their columns (suffixes a and b)."""
+    one, two = (rows.select(*keys, *(F.col(x).alias(f"{x}{y}") for x in ("fp", "c", "n", *columns))) for y in "ab")
+    pairs = one.join(two, keys).where("ca <> cb and fpa < fpb")
+    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k: int = 40, floor: float = 0.35) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text; other columns are ignored).
 
@@ -151,45 +166,67 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     )
     lists = materialise(lists, "lists")
 
-    hubs = lists.groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = lists.join(hubs, "v").select("fp", "n", F.col("hub.fp").alias("h"), F.col("hub.n").alias("hn"))
-    fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    pairs = materialise(met.where("fp <> h").where(fits).select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b")).distinct(), "pairs")
-
     listed = lists.select("fp").distinct().join(classes.select("fp", "id"), "fp")
     texts = docs.join(listed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
     sets = materialise(texts.mapInArrow(_sets(words), _SET).dropDuplicates(["fp"]), "sets")
-    measured = materialise(_measured(pairs, classes, sets, k, floor), "measured")
+    # A class weighs as much as its shingles (of a wider sketch) are common: the middle of a family weighs most.
+    wide = sets.select("fp", F.explode(F.slice("shingles", 1, 4 * k)).alias("s"))
+    often = wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    weights = wide.join(often, "s").groupBy("fp").agg(F.sum("df").alias("w"))
+    lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists")
+
+    # The hub of a list is its heaviest member, or else the heaviest hub that its members have met, if that is much alike.
+    top = lists.groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("top"), F.count("*").alias("members")).where("members > 1").drop("members")
+    best = lists.join(top, "v").groupBy("fp").agg(F.max("top").alias("best"))
+    hubs = lists.join(best, "fp").groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("one"), F.max("best").alias("two")).join(top, "v", "left_semi")
+    hubs = materialise(hubs.select("v", *(F.col(f"{x}.fp").alias(f"fp{x}") for x in ("one", "two"))), "hubs")
+    moved = hubs.where("fpone <> fptwo")
+    moved = _measured(moved.select(F.col("fpone").alias("a"), F.col("fptwo").alias("b")).distinct(), sets)
+    moved = materialise(moved.where(2 * F.col("i") >= F.greatest("na", "nb")).select(F.col("a").alias("fpone"), F.col("b").alias("fptwo"), F.lit(True).alias("moved")), "moved")
+    hubs = hubs.join(moved, ["fpone", "fptwo"], "left")
+    hubs = hubs.select("v", F.when(F.col("moved"), F.col("fptwo")).otherwise(F.col("fpone")).alias("h"))
+    met = lists.join(hubs, "v").select("fp", "n", "h").distinct()
+    pairs = materialise(met.where("fp <> h").select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b")).distinct(), "pairs")
+    measured = materialise(_measured(pairs, sets), "measured")
+    links = _links(measured, percent)
+    found = materialise(components(links), "found")
+
+    # What is left are pairs of other components that met the same hub h: |x & y| = |x & y & h| + |x & y - h|, so either
+    # min(|x & h|, |y & h|) is enough for a link, or they share something beside h.
+    met = met.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root")
+    met = materialise(met.where("fp <> h"), "met")
+    own = measured.select(F.col("a").alias("fp"), F.col("b").alias("h"), "i").union(measured.select("b", "a", "i"))
+    share = lambda n: F.ceil(F.lit(percent) * n / (100 + percent))  # noqa: E731  least overlap of a link of two sets of n in all
+    known = met.join(own, ["fp", "h"])
+    known = materialise(_several(known, "h"), "known")
+    partner = F.greatest("lo", F.ceil(F.lit(percent) * F.col("n") / 100))
+    close = _several(known.where(F.col("i") >= share(F.col("n") + partner)), "h")
+    rest = _across(close, ["h"], percent, ["i"]).where(F.least("ia", "ib") >= share(F.col("na") + F.col("nb"))).select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
+
+    # Beside the hub: a prefix-filtered join of what is left of the sets, rarest first.
+    left, hub = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("fp", "h"))
+    beside = known.join(left, "fp").join(hub, "h").select("h", "fp", "n", "c", "i", "lo", F.explode(F.array_except("sfp", "sh")).alias("s"))
+    beside = materialise(beside, "beside")
+    common = beside.groupBy("h", "s").agg(F.count("*").alias("df"), F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("h", "s", "df")
+    kept = beside.join(common, ["h", "s"]).groupBy("h", "fp", "n", "c", "i", "lo").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))  # a document's shingles at most
+    needed = F.greatest(share(F.col("n") + partner) - F.col("i"), F.lit(1))
+    kept = kept.withColumn("prefix", (F.size("own") - needed + 1).cast("int")).where("prefix > 0")
+    kept = kept.select("h", "fp", "n", "c", F.size("own").alias("w"), F.explode(F.slice("own", F.lit(1), F.col("prefix"))["s"]).alias("s"))
+    kept = materialise(kept.withColumn("hs", F.struct("h", "s")).drop("h", "s"), "kept")
+    # Families within families: the heaviest of each such list first, all others only where components remain.
+    top = kept.groupBy("hs").agg(F.max(F.struct("w", "fp", "n", "c")).alias("top"))
+    star = kept.join(top, "hs").where("c <> top.c").where(100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
+    star = star.select(F.least("fp", "top.fp").alias("a"), F.greatest("fp", "top.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    measured = measured.union(materialise(_measured(materialise(star, "star"), sets), "measured"))
     links = _links(measured, percent)
     found = materialise(components(links), "found")
+    pairs = measured.select("a", "b")
+    kept = kept.drop("c").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root")
+    beyond = materialise(_across(_several(kept, "hs"), ["hs"], percent, []).select("fpa", "fpb"), "beyond")
+    rest = rest.union(beyond)
 
-    # What is left: lists that span several components. |x & y| <= min(|x & h|, |y & h|) + min(rx, ry) for their hub h,
-    # where r counts the shingles outside h that some other class measured against a hub has outside it as well.
-    own = measured.select(F.col("a").alias("fp"), F.col("b").alias("h"), "i", F.col("ra").alias("beside")).union(measured.select("b", "a", "i", "rb"))
-    beside = own.select("fp", "h", F.explode("beside").alias("s"))
-    common = beside.groupBy("s").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).where("p <> q").select("s")
-    counted = beside.join(common, "s").groupBy("fp", "h").agg(F.count("*").alias("r"))
-    known = materialise(own.select("fp", "h", "i").join(counted, ["fp", "h"], "left").select("fp", "h", "i", F.coalesce("r", F.lit(0)).alias("r")), "known")
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("v").agg(F.min("c").alias("p"), F.max("c").alias("q"), F.min("n").alias("lo")).where("p <> q").select("v", "lo")
-        return rows.drop("lo").join(several, "v")
-
-    placed = lists.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("v", "fp", "n", F.coalesce("root", "fp").alias("c"))
-    placed = materialise(still_open(placed), "open")
-    placed = placed.join(hubs.select("v", F.col("hub.fp").alias("h")), "v").join(known, ["fp", "h"], "left")
-    placed = placed.select("v", "fp", "n", "c", "lo", F.when(F.col("fp") == F.col("h"), F.col("n")).otherwise(F.coalesce("i", "n")).alias("i"), F.when(F.col("fp") == F.col("h"), 0).otherwise(F.coalesce("r", "n")).alias("r"))
-    enough = (100 + percent) * F.least(F.col("i") + F.col("r"), F.col("n")) >= percent * (F.col("n") + F.greatest("lo", F.ceil(F.lit(percent / 100) * F.col("n"))))
-    placed = materialise(still_open(placed.where(enough)), "open")
-    parts = placed.groupBy("v", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left, right = (parts.select("v", *(F.col(x).alias(f"{x}{y}") for x in ("c", "lo", "hi"))) for y in "ab")
-    meets = left.join(right, "v").where("ca < cb").where(f"100 * hib >= {percent} * loa and 100 * hia >= {percent} * lob").select("v", "ca", "cb")
-    one = placed.select("v", *(F.col(x).alias(f"{x}a") for x in ("c", "fp", "n", "i", "r")))
-    two = placed.select("v", *(F.col(x).alias(f"{x}b") for x in ("c", "fp", "n", "i", "r")))
-    across = meets.join(one, ["v", "ca"]).join(two, ["v", "cb"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    across = across.where((100 + percent) * (F.least("ia", "ib") + F.least("ra", "rb")) >= percent * (F.col("na") + F.col("nb")))
-    rest = across.select(F.least("fpa", "fpb").alias("a"), F.greatest("fpa", "fpb").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_links(_measured(materialise(rest, "rest"), classes, sets, k, floor), percent), "links")
+    rest = materialise(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = materialise(_links(_measured(materialise(_allowed(rest, classes, k, floor), "near"), sets), percent), "links")
     if not more.isEmpty():
         found = materialise(components(links.union(more)), "found")
 
