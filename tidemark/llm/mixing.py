@@ -6,7 +6,7 @@
 2. Each source is cut into blocks by a hash of its documents: blocks are what the mix draws, so only counts of blocks
    are planned and no window ever covers a whole source. A source is taken whole floor(target / words) times; the rest
    of its target is drawn from its blocks in the order of a keyed permutation, whole blocks first, and then documents,
-   in the order of another keyed permutation, from the one block where the quota ends.
+   in the order of another keyed permutation, from the one block where the quota ends (its smallest ones fill the rest).
 3. A multivariate-hypergeometric splitting tree deals the drawn blocks to output shards: at each node the exact counts
    of blocks by source are split at random between two halves of the shards, down to single shards. Each shard takes
    the next blocks of each source's permutation, so shards are disjoint and each has nearly the mix of the whole.
@@ -134,10 +134,16 @@ def mix_sources(
     inside, edge = F.col("before") + F.col("words") <= F.col("quota"), (F.col("before") < F.col("quota")) & (F.col("before") + F.col("words") > F.col("quota"))
     state = sums.select("sid", "block", "rank", F.col("before").alias("block_before"), inside.alias("inside"), edge.alias("edge")).join(dealt, ["sid", "rank"], "left")
     rows = rows.join(state, ["sid", "block"])
-    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64("key", F.lit(seed + 2)), "doc_id", "th")
-    last = rows.where("edge").withColumn("own_before", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # The last document is taken if more than half of it is within the quota.
-    last = last.withColumn("extra", (F.col("block_before") + F.col("own_before") + F.col("size") / 2 < F.col("quota")).cast("int")).drop("own_before")
+    of_block = Window.partitionBy("sid", "block")
+    tie = (F.xxhash64("key", F.lit(seed + 2)), F.col("doc_id"), F.col("th"))
+    upto = of_block.orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.where("edge").withColumn("upto", F.col("block_before") + F.sum("size").over(upto))
+    last = last.withColumn("first", F.col("upto") <= F.col("quota"))
+    last = last.withColumn("room", F.col("quota") - F.coalesce(F.max(F.when(F.col("first"), F.col("upto"))).over(of_block), F.col("block_before")))
+    # What room the next document leaves goes to the smallest ones after it; the last of these counts if half of it fits.
+    later = of_block.orderBy("first", "size", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    fits = ~F.col("first") & (F.sum("size").over(later) - F.col("size") / 2 < F.col("room"))
+    last = last.withColumn("extra", (F.col("first") | fits).cast("int")).drop("upto", "first", "room")
     rest = rows.where("not edge").withColumn("extra", F.col("inside").cast("int"))
     times = F.least(F.col("passes") + F.col("extra"), F.lit(most))
     chosen = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), times)

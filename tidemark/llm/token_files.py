@@ -187,7 +187,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
     ordered = docs.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    rows = ordered.mapInArrow(_write_shard(folder, tokenizer, end_id, batch_bytes), "shard long, docs long, tokens long, width int").collect()
+    rows = ordered.mapInArrow(_write_shard(folder, tokenizer, end_id, batch_bytes), "shard long, docs long, tokens long, width long").collect()
     manifest, base = [], 0
     for row in sorted(rows, key=lambda r: r.shard):
         manifest.append(row.asDict() | {"base": base})
@@ -247,5 +247,5 @@ def token_index(documents: DataFrame, tokenizer: str, end_id: int = 0, folder: s
     spark = documents.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     manifest = write_token_files(documents, folder, tokenizer, end_id)
-    shards = spark.createDataFrame([(m["shard"], m["width"], m["base"]) for m in manifest], "shard long, width int, base long")
+    shards = spark.createDataFrame([(m["shard"], m["width"], m["base"]) for m in manifest], "shard long, width long, base long")
     return shards.repartition(max(1, len(manifest))).mapInArrow(_read(folder), _INDEX)
