@@ -6,6 +6,7 @@ driver share only that; where it is unset (tests), a temporary folder of this se
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -149,3 +150,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the JVM drop the shuffle files of plans that nothing refers to any more, so they don't add up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

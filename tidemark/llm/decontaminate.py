@@ -53,7 +53,7 @@ def covered(spans: Column) -> Column:
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated for every row of (doc_id, text)."""
+    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, and the row key, for every row of (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.select("doc_id", *row_key(), "text")
     windows = materialise(item_windows(benchmark, size), "windows")
@@ -76,4 +76,4 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 1
     items = items.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     out = both.join(items, ["k", "th"], "left")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"), "k", "th")

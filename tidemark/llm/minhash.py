@@ -69,7 +69,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Itera
             yield row, np.zeros(0, np.uint64)
 
 
-_SKETCH = "doc_id long, n_shingles long, fp binary, sketch array<long>"
+_SKETCH = "doc_id long, th long, n_shingles long, fp binary, sketch array<long>"
 _SET = "fp binary, shingles array<long>"
 
 
@@ -91,8 +91,8 @@ def _sketches(words: int, k: int):
                     prints.append(xxhash.xxh128_digest(found) if len(found) else None)
                     kept.append(found[:k])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(kept)],
-                    names=["doc_id", "n_shingles", "fp", "sketch"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "th")), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(kept)],
+                    names=["doc_id", "th", "n_shingles", "fp", "sketch"],
                 )
 
     return run
@@ -141,12 +141,12 @@ def _across(rows: DataFrame, keys: list[str], percent: int, columns: list[str])
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k: int = 40, floor: float = 0.35) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept, th (hash of the text) for each row of ``documents`` (doc_id, text).
 
     words: words of a shingle. percent: the least Jaccard similarity of a link. k: sketch size. floor: the share of a
     full sketch that linked documents surely have in common, in the inverted lists and in the union's estimate.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
     sketched = materialise(docs.mapInArrow(_sketches(words, k), _SKETCH), "sketches")
     classes = sketched.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
@@ -235,4 +235,4 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     named = rooted.join(least, "c").select("fp", "component_id")
     out = sketched.drop("sketch").join(named, "fp", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th")

@@ -91,6 +91,10 @@ def matches(text: Column, pattern: str, needs: Column) -> Column:
     return F.when(needs, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast(_SPANS))
 
 
+def _checker(kind: str):
+    return lambda m: checked(kind, m["text"])
+
+
 def _base(text: Column) -> dict[str, Column]:
     out = {}
     for kind in KINDS:
@@ -99,7 +103,7 @@ def _base(text: Column) -> dict[str, Column]:
             needs = needs & text.rlike(r"[0-9]")
         if kind == "card":
             needs = text.rlike(r"[0-9](?:[ -]?+[0-9]){13}")
-        out[kind] = F.filter(matches(text, pattern, needs), lambda m, kind=kind: checked(kind, m["text"]))
+        out[kind] = F.filter(matches(text, pattern, needs), _checker(kind))
     return out
 
 
@@ -134,8 +138,19 @@ def find_candidates(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
     own = _base(F.col("text"))
     docs = docs.select("doc_id", "text", *(own[k].alias(f"b_{k}") for k in KINDS))
-    number = {k: i for i, k in enumerate(KINDS)}
-    base = F.concat(*(F.transform(f"b_{k}", lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(number[k]).alias("kind"), m["end"].alias("end"))) for k in KINDS))
+
+    def placed(number: int):
+        return lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"))
+
+    def described(number: int, kind: str):
+        def of(m: Column) -> Column:
+            meets = lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"]) | (b["start"] >= m["start"]) & (b["end"] <= m["end"])
+            truth = F.exists(F.col(f"b_{kind}"), meets).cast("int")
+            return F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth.alias("y"), _features(kind, m, F.col("text")).alias("f"))
+
+        return of
+
+    base = F.concat(*(F.transform(f"b_{k}", placed(i)) for i, k in enumerate(KINDS)))
     wide = []
     for kind in KINDS:
         needs = F.col("text").rlike(r"@|[\[(](?:at|AT)[\])]") if kind == "email" else F.col("text").rlike(r"[0-9]")
@@ -144,8 +159,7 @@ def find_candidates(documents: DataFrame) -> DataFrame:
             found = F.filter(found, lambda m: F.length(_digits(m["text"])).between(7, 15))
         if kind == "card":
             found = F.filter(found, lambda m: F.length(_digits(m["text"])).between(12, 19))
-        truth = lambda m, kind=kind: F.exists(F.col(f"b_{kind}"), lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"]) | (b["start"] >= m["start"]) & (b["end"] <= m["end"])).cast("int")
-        wide.append(F.transform(found, lambda m, kind=kind, truth=truth: F.struct(F.lit(number[kind]).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth(m).alias("y"), _features(kind, m, F.col("text")).alias("f"))))
+        wide.append(F.transform(found, described(KINDS.index(kind), kind)))
     return docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), F.array_sort(base).alias("base"), F.concat(*wide).alias("proposed"))
 
 
@@ -248,7 +262,11 @@ def find_personal_data(documents: DataFrame, precision: float = 0.98) -> DataFra
         chosen = F.filter("proposed", lambda c: free(c) & selected(c))
         added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     spans = F.array_sort(F.array_distinct(F.concat("base", added)))
-    counts = [F.size(F.filter("base", lambda b, i=i: b["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+
+    def of_kind(number: int):
+        return lambda b: b["kind"] == number
+
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, "base", spans.alias("spans"))
 
 

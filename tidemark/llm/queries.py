@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.langid import identify_languages
+from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.mpegts import media_features
+from tidemark.llm.pii import find_personal_data, span_text
 from tidemark.llm.quality import score_quality
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_files import token_index
 
 
@@ -37,6 +40,24 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that stand in repeated strings of 200 bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, filed as <source>/<id / 1000>/<id / 10>/<id>."""
+    documents = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.col("source"), *((F.floor(F.col("doc_id") / n)).cast("string") for n in (1000, 10)), F.col("doc_id").cast("string"))
+    return scan_licenses(documents, path)
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans, and those with what the trees add."""
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token files, described as read back."""
     return token_index(table(spark, sf_dir, "documents"), vocabulary())
@@ -55,7 +76,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +87,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_personal_data": op5_personal_data,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
     "op8_language_id": op8_language_id,
