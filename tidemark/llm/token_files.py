@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -47,7 +48,7 @@ class Encoder:
     which is a token of its own. Other tokenisers, texts with odd white space and texts with added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 500_000) -> None:
+    def __init__(self, path: str, end_id: int, most_words: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,6 +130,12 @@ class Encoder:
         return [ids + self.end for ids in out]
 
 
+@cache
+def _encoder(path: str, end_id: int) -> Encoder:
+    """The worker's encoder: tasks that follow one another in a worker share the words it knows."""
+    return Encoder(path, end_id)
+
+
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
     return unquote(parts.path) if parts.scheme in ("", "file") else None
@@ -155,7 +162,7 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, batch_bytes: int):
                 while i + len(texts) < len(column) and size < batch_bytes:
                     texts.append(column[i + len(texts)].as_py())
                     size += len(texts[-1] or "")
-                encoder = encoder or Encoder(tokenizer, end_id)
+                encoder = encoder or _encoder(tokenizer, end_id)
                 if out is None:
                     if fs is None:
                         os.makedirs(place, exist_ok=True)
