@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, materialise, prefix_hash, release, row_blocks, row_key, span_hash, utf8
+from tidemark.llm.common import BYTE_VALUES, discard, materialise, prefix_hash, release, row_blocks, row_key, span_hash, utf8
 
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23  # bytes of a text that are looked at at once
@@ -292,13 +292,17 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     """k, th, spans: byte spans (a, b) to remove of each document that has some, by its ``row_key``; spans may overlap."""
     spark = documents.sparkSession
     docs = documents.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    found = materialise(docs.mapInArrow(_find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    found = found.join(twice, "h").groupBy("k", "th").agg(F.collect_list(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
+    marks = materialise(docs.mapInArrow(_find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
+    twice = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    found = marks.join(twice, "h").groupBy("k", "th").agg(F.collect_list(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
     # Rows that are equal in id and text were found together; each of them keeps its own places once.
-    found = found.withColumn("found", F.array_distinct("found"))
+    found = materialise(found.withColumn("found", F.array_distinct("found")), "found")
+    discard(marks)
+    del marks, twice
+    release(spark)
     cut = materialise(docs.join(found, ["k", "th"]).select("k", "th", "text", "found").mapInArrow(_cut(length), _SNIPPET), "snippets")
-    del docs, found, twice
+    discard(found)
+    del docs, found
     release(spark)
 
     snippets = cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet")
@@ -315,7 +319,9 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     spans = materialise(spans, "spans")
     places = cut.where("snippet is null").select("k", "th", "x0", "s1", "s2").join(spans, ["s1", "s2"])
     placed = places.select("k", "th", F.struct((F.col("x0") + F.col("a")).alias("a"), (F.col("x0") + F.col("b")).alias("b")).alias("span"))
-    return materialise(placed.groupBy("k", "th").agg(F.collect_list("span").alias("spans")), "placed")  # of one document
+    out = materialise(placed.groupBy("k", "th").agg(F.collect_list("span").alias("spans")), "placed")  # of one document
+    discard(cut, spans, hot)
+    return out
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, gram: int = 64, **limits: int) -> DataFrame:
