@@ -152,7 +152,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     classes = materialise(classes, "classes")
 
     values = classes.select("fp", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # Counts are written before they are joined, so that the join can be split at a value that very many classes have.
+    shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     entries = values.join(shared, "v")
     ordered = entries.groupBy("fp").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.sum("df").alias("w"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # k entries at most
     share = F.when(F.col("s") < k, F.ceil(F.lit(0.6) * F.col("s"))).otherwise(F.lit(int(floor * k)))
@@ -171,7 +172,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     sets = materialise(texts.mapInArrow(_sets(words), _SET).dropDuplicates(["fp"]), "sets")
     # A class weighs as much as its shingles (of a wider sketch) are common: the middle of a family weighs most.
     wide = sets.select("fp", F.explode(F.slice("shingles", 1, 4 * k)).alias("s"))
-    often = wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    often = materialise(wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
     weights = wide.join(often, "s").groupBy("fp").agg(F.sum("df").alias("w"))
     lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists")
 
@@ -208,6 +209,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     beside = known.join(left, "fp").join(hub, "h").select("h", "fp", "n", "c", "i", "lo", F.explode(F.array_except("sfp", "sh")).alias("s"))
     beside = materialise(beside, "beside")
     common = beside.groupBy("h", "s").agg(F.count("*").alias("df"), F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("h", "s", "df")
+    common = materialise(common, "common")
     kept = beside.join(common, ["h", "s"]).groupBy("h", "fp", "n", "c", "i", "lo").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))  # a document's shingles at most
     needed = F.greatest(share(F.col("n") + partner) - F.col("i"), F.lit(1))
     kept = kept.withColumn("prefix", (F.size("own") - needed + 1).cast("int")).where("prefix > 0")

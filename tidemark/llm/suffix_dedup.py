@@ -293,11 +293,12 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     spark = documents.sparkSession
     docs = documents.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     marks = materialise(docs.mapInArrow(_find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
-    twice = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Written first: a join of two exchanges can be split where one hash has very many places.
+    twice = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     found = marks.join(twice, "h").groupBy("k", "th").agg(F.collect_list(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
     # Rows that are equal in id and text were found together; each of them keeps its own places once.
     found = materialise(found.withColumn("found", F.array_distinct("found")), "found")
-    discard(marks)
+    discard(marks, twice)
     del marks, twice
     release(spark)
     cut = materialise(docs.join(found, ["k", "th"]).select("k", "th", "text", "found").mapInArrow(_cut(length), _SNIPPET), "snippets")
