@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import scratch_path
 
 _NULL_ID = -(2**63)
-_ODD_SPACE = re.compile(r"\s{2}|^\s|\s$")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: The pre-tokeniser under which a text can be cut before each single space that stands between two other characters.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
@@ -48,7 +49,7 @@ class Encoder:
     which is a token of its own. Other tokenisers, texts with odd white space and texts with added tokens are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_words: int = 600_000) -> None:
+    def __init__(self, path: str, end_id: int, most_words: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,8 +59,9 @@ class Encoder:
         self.feed = self.tokenizer.token_to_id("\u010a")
         self.by_words = spec.get("normalizer") is None and self.feed is not None and all(before.get(k) == v for k, v in _BYTE_LEVEL.items())
         added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = added
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self._pack([end_id])
         # Byte-level models show each byte as a printable character: bytes that are none follow from U+0100 on.
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -68,15 +70,17 @@ class Encoder:
         self.most_words = most_words
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def _letters(self, word: str) -> bytes:
         """The ids of letters and perhaps a space before them: under the pre-tokeniser one piece, so the model's own affair."""
-        if not word.isascii() or word[0] == " ":
+        if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.shown)
+        elif word[0] == " ":
+            word = chr(self.shown[0x20]) + word[1:]
         return self._pack([t.id for t in self.tokenizer.model.tokenize(word)])
 
     def _learn(self, new: list[str]) -> None:
@@ -111,12 +115,15 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.by_words and not _ODD_SPACE.search(text) and not (self.added and self.added.search(text)):
+            if self.by_words and not any(a in text for a in self.added):
                 words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-                cut.append((i, words))
-                new.update(set(words).difference(known))
-            else:
-                out[i] = self._whole(text)
+                fresh = set(words).difference(known)
+                # White space beside white space or an end leaves one of these, and they are never remembered.
+                if not ("" in fresh or "\n" in fresh or _OTHER_SPACE.search(text)):
+                    cut.append((i, words))
+                    new |= fresh
+                    continue
+            out[i] = self._whole(text)
         # Letters and the stop after them are always parted, so a known word gives its forms with a stop.
         if new:
             stop = {c: self._whole(c) for c in ",."}
@@ -126,7 +133,7 @@ class Encoder:
             known.update((w, known[w[:-1]] + stop[w[-1]]) for w in new if w not in known)
         feed = self.dtype.itemsize
         for i, words in cut:
-            out[i] = b"".join([known[w] for w in words])[feed:]
+            out[i] = b"".join(map(known.__getitem__, words))[feed:]
         return [ids + self.end for ids in out]
 
 
