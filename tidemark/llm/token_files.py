@@ -107,7 +107,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text, the end id last."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         new: set[str] = set()
         if len(self.words) > self.most_words:
             self.words.clear()
@@ -117,10 +117,12 @@ class Encoder:
                 continue
             if self.by_words and not any(a in text for a in self.added):
                 words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-                fresh = set(words).difference(known)
+                ids = list(map(known.get, words))
+                missing = [j for j, x in enumerate(ids) if x is None]
+                fresh = {words[j] for j in missing}
                 # White space beside white space or an end leaves one of these, and they are never remembered.
                 if not ("" in fresh or "\n" in fresh or _OTHER_SPACE.search(text)):
-                    cut.append((i, words))
+                    cut.append((i, words, ids, missing))
                     new |= fresh
                     continue
             out[i] = self._whole(text)
@@ -132,8 +134,10 @@ class Encoder:
             self._learn([*plain, *bare.difference(known, plain)])
             known.update((w, known[w[:-1]] + stop[w[-1]]) for w in new if w not in known)
         feed = self.dtype.itemsize
-        for i, words in cut:
-            out[i] = b"".join(map(known.__getitem__, words))[feed:]
+        for i, words, ids, missing in cut:
+            for j in missing:
+                ids[j] = known[words[j]]
+            out[i] = b"".join(ids)[feed:]
         return [ids + self.end for ids in out]
 
 
