@@ -158,6 +158,8 @@ def test_personal_data(spark, empty):
             continue
         found = sorted((m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, text or "") if valid(kind, m[0]))
         assert got[i] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in found), i
+    zeros = spark.createDataFrame([(1, "10.0.0.1 and 0.0.0.0, 1.2.3.00 or 192.168.000.255"), (2, "10.0.0.256 and 1.2.3.0400")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_ip, r.b) for r in pii.find_personal_data(zeros).select("doc_id", "n_ip", pii.span_text(F.col("base")).alias("b")).collect()} == {1: (4, "ip:0:8,ip:13:20,ip:22:30,ip:34:49"), 2: (0, "")}
     assert pii.find_personal_data(empty.select("doc_id", "text")).count() == 0
     line = spark.createDataFrame([("call +1 555 555 1234 now",)], "text string")
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(3).alias("kind"), F.lit(20).alias("end")))

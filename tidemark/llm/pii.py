@@ -35,7 +35,7 @@ _BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?+(?:@|[\[(](?:at|AT)[\])]) ?+[A-Za-z0-9-]++(?: ?+(?:\.|[\[(](?:dot|DOT)[\])]) ?+[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){2,5}+",
