@@ -87,6 +87,18 @@ def test_near_duplicates(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_link_rows_without_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    near, lone = " ".join(f"v{i}" for i in range(100)), " ".join(f"u{i}" for i in range(100))
+    # Of 196 shingles, 20 differ between the null-id bridge and either end, and 40 between the ends: 0.82 and 0.66.
+    rows = [(1, changed(10, 50, 90, 130)), (None, changed()), (2, changed(30, 70, 110, 150)), (None, near), (3, near + " end"), (None, lone), (4, None), (4, ""), (None, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(1, 196, 1, True), (None, 196, 1, False), (2, 196, 1, False), (None, 96, 3, False), (3, 97, 3, True), (None, 96, None, True), (4, 0, 4, True), (4, 0, 4, True), (None, 0, None, True)], key=str
+    )
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [(1, rows[8][1]), (2, "two WORDS"), (3, None), (4, ""), (10, rows[8][1]), (11, " ".join(["same"] * 12)), (12, "never seen in any document of this table at all, no")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
