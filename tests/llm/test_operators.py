@@ -238,6 +238,22 @@ def test_language_models(spark, docs, empty):
     assert len(out) == docs.count() and all(r.lang_pred in ("en", "fr", "und") for r in out)
 
 
+def test_mapped_language_models_equal_broadcast_ones(spark):
+    rng = random.Random(3)
+    texts = lambda letters, n: ["".join(rng.choices(letters + " ", k=300)) for _ in range(n)]
+    rows = [(i, t, lang) for lang, letters, n in (("hot", "abcdefgh", 40), ("rare", "xyzé", 2), ("han", "\u4e00\u9fa5\u8a9e\U00020000", 5)) for i, t in enumerate(texts(letters, n))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, mapped = langid.train_languages(frame, frame), langid.train_languages(frame, frame, most_grams=10)
+    assert mapped.langs == whole.langs == ["han", "hot", "rare"] and mapped.temperature == whole.temperature
+    assert mapped.most_entropy == pytest.approx(whole.most_entropy, rel=1e-6)
+    for a, b in zip(whole.models, mapped.models, strict=True):
+        for order in (1, 2, 3, 4):
+            assert b.prob(order, a.keys[order]) == pytest.approx(a.p[order], rel=1e-12)
+        assert b.prob(4, a.keys[4] ^ np.uint64(1 << 32)) == pytest.approx(a.prob(4, a.keys[4] ^ np.uint64(1 << 32)), rel=1e-12)
+    got = [sorted((r.doc_id, r.lang, r.lang_pred, round(r.entropy, 5)) for r in langid.predict_languages(frame, m).collect()) for m in (whole, mapped)]
+    assert got[0] == got[1] and all(lang == pred for _, lang, pred, _ in got[1])
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(60)) if i % 2 else "BUY NOW!! " * 40 for i in range(400)]
