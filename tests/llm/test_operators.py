@@ -178,6 +178,25 @@ def test_personal_data(spark, empty):
     assert line.select(pii.redact(F.col("text"), spans, "#").alias("t")).first().t == "call " + "#" * 15 + " now"
 
 
+def test_personal_data_adds_unmarked_forms(spark):
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choices("23456789", k=n))
+    texts = []
+    for i in range(400):
+        phone, mail = f"({digits(3)}) {digits(3)}-{digits(4)}", f"n{i} (at) host{i} (dot) org"
+        texts.append(f"call +1 {phone} or n{i}@host{i}.org about 2020-01-{10 + i % 20}. Items 10 20 30 40 50. See this @ noon.")
+        if i % 20 == 0:
+            texts.append(f"reach me under {phone} or {mail}. Thanks, 1.2.3.999")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_personal_data(frame).select("doc_id", pii.span_text(F.col("base")).alias("b"), pii.span_text(F.col("spans")).alias("s")).collect():
+        text = texts[r.doc_id]
+        if text.startswith("reach"):
+            phone, mail = text.index("("), text.index(" or ") + 4
+            assert r.b == "" and r.s == f"phone:{phone}:{phone + 14},email:{mail}:{text.index('. Thanks')}"
+        else:
+            assert r.s == r.b and r.b.count(":") == 4
+
+
 def test_boosting_learns():
     cells = [({**dict.fromkeys(pii.FEATURES, 0), "digits": d, "lead": x}, 10.0 * (d > 4), 10.0 * (d <= 4)) for d in range(9) for x in range(4)]
     model = pii.boost(cells)

@@ -6,8 +6,12 @@ long digit groups, telephone-like groups without a plus sign. Boosted trees over
 proposal, and proposals whose score reaches their kind's threshold are added where no base span lies.
 
 There are no labels for personal data, so the trees learn from the checks: proposals that the base patterns' checks
-confirm are positive, proposals that they refute (octets over 255, failed check digits, wrong lengths) are negative, and
-the check's own outcome is no feature. All documents' proposals count: they are summed by feature vector, at most
+confirm, as they stand or in normal form ((at) and (dot) as signs, cards without dots), are positive, proposals that they
+refute (octets over 255, failed check digits, wrong lengths) are negative, and the check's own outcome is no feature.
+Forms without a mark have no check, so confirmed spans are made into them: telephone numbers without their plus sign,
+country code and context, mails with (at). A number without plus sign is negative if its groups are those of no telephone
+number or it meets a base span of another kind, and else trains nothing. Refuted proposals are never added, and the
+thresholds' precision is that of forms which no base span meets. All documents' proposals count: they are summed by feature vector, at most
 ``most_cells`` of them as every feature has few values, and the trees are fitted to these sums on the driver. Thresholds
 are the lowest at which proposals of the fold kept out reach the wanted precision; a kind that never does adds nothing.
 
@@ -37,7 +41,7 @@ _BASE = {
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?+(?:@|[\[(](?:at|AT)[\])]) ?+[A-Za-z0-9-]++(?: ?+(?:\.|[\[(](?:dot|DOT)[\])]) ?+[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?+(?:@|[\[(](?:at|AT)[\])]) ?+[A-Za-z0-9-]++(?:(?:\.| \. | ?+[\[(](?:dot|DOT)[\])] ?+)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){2,5}+",
     "card": r"(?<![0-9])[0-9]{3,}+(?:[ .-][0-9]{3,}+)*+",
     "phone": r"(?:\+ ?+)?+\(?+[0-9]++\)?+(?:[ .-]\(?+[0-9]++\)?+){1,6}+",
@@ -111,12 +115,33 @@ def _base(text: Column) -> dict[str, Column]:
 FEATURES = {"digits": 9, "groups": 6, "regular": 2, "lead": 4, "plus": 2, "bracket": 2, "separators": 4, "context": 2, "word_before": 2, "word_after": 2}
 
 
+_MARKED = r"[\[(](?:at|AT|dot|DOT)[\])]"
+_MAIL = r"^[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}$"
+_PHONE = r"^\+?[0-9]{0,3} ?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"
+
+
+def normal(kind: str, text: Column) -> Column:
+    """A proposal as the base patterns would have it: (at) and (dot) as signs, cards without dots."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(text, r" ?[\[(](?:at|AT)[\])] ?", "@"), r" ?[\[(](?:dot|DOT)[\])] ?", ".")
+    return F.translate(text, ".", " ") if kind == "card" else text
+
+
+def possible(kind: str, text: Column) -> Column:
+    """Whether the check does not refute a proposal that no base span meets."""
+    if kind == "email":
+        return text.rlike(_MARKED) & normal(kind, text).rlike(_MAIL)
+    return checked(kind, text)
+
+
 def _features(kind: str, m: Column, text: Column) -> Column:
+    marked = m["text"].rlike(_MARKED if kind == "email" else r"[()\[\]]")
+    m = F.struct(m["start"].alias("start"), m["end"].alias("end"), normal(kind, m["text"]).alias("text"))
     digits = F.length(_digits(m["text"]))
     before = F.substr(text, F.greatest(m["start"] - 19, F.lit(1)), F.least(m["start"], F.lit(20)))
     groups = F.size(F.split(F.regexp_replace(m["text"], "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), "[^0-9A-Za-z]+", -1))
     first = F.substr(_digits(m["text"]), F.lit(1), F.lit(1))
-    separators = F.length(F.regexp_replace(m["text"], r"[0-9A-Za-z]", ""))
+    separators = F.length(F.regexp_replace(m["text"], r"^\+ ?|[0-9A-Za-z]", ""))
     flag = lambda c: c.cast("int")
     return F.struct(
         F.when(digits < 8, F.lit(0)).otherwise(F.least(digits - 7, F.lit(8))).alias("digits"),
@@ -124,7 +149,7 @@ def _features(kind: str, m: Column, text: Column) -> Column:
         flag(m["text"].rlike(r"^(?:[0-9]{4}[ -]){3}[0-9]{4}$|^\+?[0-9]{0,3} ?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{14,16}$|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^[^ ]+@[^ ]+\.[A-Za-z]{2,}$")).alias("regular"),
         F.when(first == "4", 1).when(first.isin("3", "5", "6"), 2).when(first.isin("0", "1"), 3).otherwise(0).alias("lead"),
         flag(m["text"].startswith("+")).alias("plus"),
-        flag(m["text"].rlike(r"[()\[\]]")).alias("bracket"),
+        flag(marked).alias("bracket"),
         F.least(separators, F.lit(3)).alias("separators"),
         flag(before.rlike(_CONTEXT[kind])).alias("context"),
         flag(before.rlike(r"[\p{L}\p{N}_]$")).alias("word_before"),
@@ -133,7 +158,11 @@ def _features(kind: str, m: Column, text: Column) -> Column:
 
 
 def find_candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, fold, base (array of kind, start, end) and proposed (kind, start, end, y, f: check's outcome, features)."""
+    """doc_id, fold, base (array of kind, start, end), proposed and made.
+
+    proposed: kind, start, end, y (confirmed 1, refuted 0, null if neither), met (by a base span of its kind), may (be added), f
+    (features). made: kind and f of confirmed spans in forms without a mark.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
     own = _base(F.col("text"))
@@ -145,11 +174,30 @@ def find_candidates(documents: DataFrame) -> DataFrame:
     def described(number: int, kind: str):
         def of(m: Column) -> Column:
             meets = lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"]) | (b["start"] >= m["start"]) & (b["end"] <= m["end"])
-            truth = F.exists(F.col(f"b_{kind}"), meets).cast("int")
-            return F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth.alias("y"), _features(kind, m, F.col("text")).alias("f"))
+            met, may = F.exists(F.col(f"b_{kind}"), meets), possible(kind, m["text"])
+            truth = F.when(met, 1).when(may, 1).otherwise(0)
+            if kind == "phone":
+                over = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+                other = F.exists(F.concat(*(F.col(f"b_{k}") for k in KINDS)), over)
+                truth = F.when(met, 1).when(other | ~may | ~m["text"].rlike(_PHONE), 0)
+            f = _features(kind, m, F.col("text")).alias("f")
+            return F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth.alias("y"), met.alias("met"), may.alias("may"), f)
 
         return of
 
+    def rewritten(pattern: str, instead: str):
+        return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.regexp_replace(m["text"], pattern, instead).alias("text"))
+
+    def unmarked(kind: str) -> list[Column]:
+        """The confirmed base spans of a kind in each form without a mark that still has enough digits."""
+        forms = {"email": [("@", " (at) ")], "phone": [(r"^\+", ""), (r"^\+[0-9]{1,3}[ .-]", "")]}.get(kind, [])
+        out = []
+        for pattern, instead in forms:
+            spans = F.transform(f"b_{kind}", rewritten(pattern, instead))
+            spans = F.filter(spans, lambda m: ~m["text"].startswith("+") & possible(kind, m["text"]))
+            out.append(F.transform(spans, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), _features(kind, m, F.col("text")).withField("context", F.lit(0)).alias("f"))))
+        return out
+
     base = F.concat(*(F.transform(f"b_{k}", placed(i)) for i, k in enumerate(KINDS)))
     wide = []
     for kind in KINDS:
@@ -160,7 +208,7 @@ def find_candidates(documents: DataFrame) -> DataFrame:
         if kind == "card":
             found = F.filter(found, lambda m: F.length(_digits(m["text"])).between(12, 19))
         wide.append(F.transform(found, described(KINDS.index(kind), kind)))
-    return docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), F.array_sort(base).alias("base"), F.concat(*wide).alias("proposed"))
+    return docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"), F.array_sort(base).alias("base"), F.concat(*wide).alias("proposed"), F.concat(*(x for k in KINDS for x in unmarked(k))).alias("made"))
 
 
 Tree = tuple[float, list[tuple[str, int, str, int, list[float]]]]
@@ -222,8 +270,12 @@ def _tree_column(model: Tree, f: Column) -> Column:
 
 def fit_candidates(candidates: DataFrame, precision: float = 0.98, most_cells: int = 200_000) -> dict[str, tuple[Tree, float]]:
     """For each kind its trees and the least raw value that is selected. precision: wanted of the fold kept out (of five)."""
-    rows = candidates.select((F.col("fold") == 0).alias("held"), F.explode("proposed").alias("c"))
-    cells = rows.groupBy("held", "c.kind", "c.f").agg(F.sum("c.y").alias("pos"), F.sum(1 - F.col("c.y")).alias("neg"))
+    held = (F.col("fold") == 0).alias("held")
+    rows = candidates.select(held, F.explode("proposed").alias("c")).select("held", "c.kind", "c.f", "c.y", "c.met")
+    rows = rows.union(candidates.select(held, F.explode("made").alias("c")).select("held", "c.kind", "c.f", F.lit(1), F.lit(False)))
+    # Base spans stay anyway: what they meet trains, but the precision wanted is that of the rest.
+    pos, neg = (F.count_if((F.col("y") == y) & ~(F.col("held") & F.col("met"))) for y in (1, 0))
+    cells = rows.where("y is not null").groupBy("held", "kind", "f").agg(pos.alias("pos"), neg.alias("neg"))
     cells = cells.limit(most_cells + 1).collect()
     if len(cells) > most_cells:
         raise ValueError("more feature vectors than most_cells")
@@ -259,7 +311,7 @@ def find_personal_data(documents: DataFrame, precision: float = 0.98) -> DataFra
             return test
 
         free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        chosen = F.filter("proposed", lambda c: free(c) & selected(c))
+        chosen = F.filter("proposed", lambda c: free(c) & c["may"] & selected(c))
         added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     spans = F.array_sort(F.array_distinct(F.concat("base", added)))
 
