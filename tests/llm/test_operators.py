@@ -335,3 +335,18 @@ def test_licenses(spark, docs, empty):
     assert got[4] in ((None, None), ("MIT", "inherited"))
     assert license_scan.scan_licenses(empty, F.lit("x/y")).count() == 0
     assert license_scan.scan_licenses(docs, F.lit("x/y")).count() == docs.count()
+
+
+def test_licenses_of_complete_texts(spark):
+    whole = dict(license_scan.whole_texts())
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2015 Some One\n\n" + whole["MIT"].partition("\n\n")[2]
+    kinds = {"mit": ("MIT", mit), **{x: (x, whole[x]) for x in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")}}
+    rows = [(f"{d}/{name}", text) for d, (_, text) in kinds.items() for name, text in (("LICENSE", text), ("src/deep/code.txt", "plain words"))]
+    lines = {"MIT": "// SPDX-License-Identifier: MIT", "GPL-3.0": "# SPDX-License-Identifier: GPL-3.0-or-later", "Apache-2.0": "License: Apache-2.0"}
+    rows += [(f"z/{x}", line + "\n" + "plain words follow " * 50) for x, line in lines.items()] + [("z/ISC", "SPDX-License-Identifier: ISC"), ("z/prose", "The permission of the author and the terms of the work are such that you may not. " * 40)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.how) for r in license_scan.scan_licenses(frame, F.col("path")).collect()}
+    for d, (x, _) in kinds.items():
+        assert got[f"{d}/LICENSE"] == (x, "file") and got[f"{d}/src/deep/code.txt"] == (x, "inherited"), d
+    assert {x: got[f"z/{x}"] for x in lines} == {x: (x, "header") for x in lines}
+    assert got["z/ISC"] == got["z/prose"] == (None, None)

@@ -3,8 +3,10 @@
 Every line of a text that carries a cue (a word that each template has one of) is a possible header, and a whole text is
 a possible licence file. Both are sparse TF-IDF vectors of lower-cased words, the inverse frequencies being those of the
 templates, with a word unknown to all templates weighing as the rarest; their cosines with the templates come from one
-join on words. A document's own licence is that of its best line (``header``) or, if better, of the whole text (``file``),
-from ``least_header`` or ``least_file`` on. A licence file speaks for its directory: a document without a licence of its
+join on words. Templates are of three kinds with frequencies of their own: notices, which lines and texts are held
+against, complete licence texts (texts only) and identifiers (lines only). A document's own licence is that of its best
+line (``header``) or, if better, of the whole text (``file``), from ``least_header``, ``least_file`` or, for complete
+texts, ``least_text`` on. A licence file speaks for its directory: a document without a licence of its
 own takes that of the nearest directory above it that has one (``inherited``), found by joining its ancestors' paths.
 
 Templates are a fixed table and broadcast. Only lines with cues are spread into words. Directories with several licence
@@ -14,6 +16,9 @@ no directory. Repeated rows are scanned alike, each of them.
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +44,24 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
 )
+#: Names that SPDX lines and licence fields give, by licence.
+IDENTIFIERS = (
+    *((x, x) for x in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "MIT", "MPL-2.0")),
+    *((x, x + end) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for end in ("", "-only", "-or-later")),
+)
+NOTICE, WHOLE, NAME = 0, 1, 2
+
+
+@cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """Complete licence texts: the files of the folder ``licenses``, named by licence."""
+    return tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+
+
+def names() -> tuple[tuple[str, str], ...]:
+    return tuple((x, before + name) for x, name in IDENTIFIERS for before in ("SPDX-License-Identifier: ", "License: "))
+
+
 CUES = r"(?i)licen[cs]e|copyright|public domain|permission|redistribution|all rights reserved|\bcc0\b|spdx"
 
 
@@ -70,39 +93,46 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.concat_ws("/", F.slice(parts, F.lit(1), i)).alias("dir")))
 
 
-def scan_licenses(documents: DataFrame, path: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_header: float = 0.75, least_file: float = 0.75) -> DataFrame:
+def scan_licenses(documents: DataFrame, path: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, least_header: float = 0.75, least_file: float = 0.75, least_text: float = 0.9) -> DataFrame:
     """doc_id, path, license, how (header, file, inherited; null without licence), similarity, licensed_dir for every row of (doc_id, text).
 
     path: a column of slash-parted paths. similarity: of the licence's text, which for inherited ones is the licence file's.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), *row_key(), path.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    vectors, unknown = template_vectors(spark, templates)
+    kinds = [template_vectors(spark, x) for x in (templates, whole_texts(), names())]
+    vectors = kinds[NOTICE][0].withColumn("of", F.lit(NOTICE))
+    for of in (WHOLE, NAME):
+        vectors = vectors.union(kinds[of][0].withColumn("t", F.col("t") + 10_000 * of).withColumn("of", F.lit(of)))
     vectors = F.broadcast(materialise(vectors, "templates"))  # of fixed size
-    known = F.broadcast(vectors.select("term", "idf").distinct())
+    known = F.broadcast(vectors.select("of", "term", "idf").distinct())
+    unknown = F.element_at(F.array(*(F.lit(x) for _, x in kinds)), F.col("of") + 1)
 
     cued = docs.where(F.col("text").rlike(CUES))
     lines = cued.select("k", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "passage")).where(F.col("passage").rlike(CUES)).distinct()
     whole = cued.select("k", "th", F.lit(-1).alias("line"), F.col("text").alias("passage")).distinct()
     # Lines and texts become word counts inside their row; a word occurs once in each unit from here on.
     counted = lines.union(whole).select("k", "th", "line", F.explode(terms(F.col("passage"))).alias("term")).groupBy("k", "th", "line", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(known, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))).select("k", "th", "line", "term", "x")
+    against = F.when(F.col("line") < 0, F.array(F.lit(NOTICE), F.lit(WHOLE))).otherwise(F.array(F.lit(NOTICE), F.lit(NAME)))
+    counted = counted.withColumn("of", F.explode(against))
+    weighed = counted.join(known, ["of", "term"], "left").withColumn("x", F.col("tf") * F.coalesce("idf", unknown)).select("k", "th", "line", "of", "term", "x")
     weighed = materialise(weighed, "terms")
-    norms = weighed.groupBy("k", "th", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(vectors, "term").groupBy("k", "th", "line", "t", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    near = dots.join(norms, ["k", "th", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
-    near = near.where(F.col("similarity") >= F.when(F.col("line") < 0, F.lit(least_file)).otherwise(F.lit(least_header)))
+    norms = weighed.groupBy("k", "th", "line", "of").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(vectors, ["of", "term"]).groupBy("k", "th", "line", "of", "t", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, ["k", "th", "line", "of"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
+    least = F.when(F.col("of") == WHOLE, F.lit(least_text)).when(F.col("line") < 0, F.lit(least_file)).otherwise(F.lit(least_header))
+    near = near.where(F.col("similarity") >= least)
     order = F.struct("similarity", (F.col("line") < 0).alias("is_file"), (-F.col("line")).alias("early"), (-F.col("t")).alias("first"), "license")
     own = near.groupBy("k", "th").agg(F.max(order).alias("best"), F.max(F.col("line") < 0).alias("is_file"), F.max(F.when(F.col("line") < 0, F.struct("similarity", (-F.col("t")).alias("first"), "license"))).alias("as_file"))
     own = own.select("k", "th", F.col("best.license").alias("license"), F.col("best.similarity").alias("similarity"), F.when(F.col("best.is_file"), "file").otherwise("header").alias("how"), "is_file", "as_file")
 
-    names = docs.drop("text").join(own, ["k", "th"], "left")
-    names = materialise(names, "own")
-    speaks = names.where("is_file and path is not null").groupBy(directory(F.col("path")).alias("dir"))
+    scanned = docs.drop("text").join(own, ["k", "th"], "left")
+    scanned = materialise(scanned, "own")
+    speaks = scanned.where("is_file and path is not null").groupBy(directory(F.col("path")).alias("dir"))
     speaks = speaks.agg(F.max(F.struct(F.col("as_file.similarity").alias("similarity"), F.col("as_file.first").alias("first"), F.col("as_file.license").alias("license"))).alias("of"))
-    above = names.where("license is null and path is not null").select(directory(F.col("path")).alias("own_dir"), F.explode(ancestors(F.col("path"))).alias("a")).distinct()
+    above = scanned.where("license is null and path is not null").select(directory(F.col("path")).alias("own_dir"), F.explode(ancestors(F.col("path"))).alias("a")).distinct()
     nearest = above.select("own_dir", "a.*").join(speaks, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "of")).alias("near"))
-    out = names.withColumn("own_dir", directory(F.col("path"))).join(nearest, "own_dir", "left")
+    out = scanned.withColumn("own_dir", directory(F.col("path"))).join(nearest, "own_dir", "left")
     has = F.col("license").isNotNull()
     return out.select(
         "doc_id", "path",
