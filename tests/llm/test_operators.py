@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import langid, license_scan, mpegts, pii, quality, suffix_dedup, token_files
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.minhash import near_duplicates
@@ -350,3 +351,13 @@ def test_licenses_of_complete_texts(spark):
         assert got[f"{d}/LICENSE"] == (x, "file") and got[f"{d}/src/deep/code.txt"] == (x, "inherited"), d
     assert {x: got[f"z/{x}"] for x in lines} == {x: (x, "header") for x in lines}
     assert got["z/ISC"] == got["z/prose"] == (None, None)
+
+
+def test_pipeline_stages_decide_on_null_texts(spark, empty):
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "some few words in here", "en", "a", 22), (3, "some few words in here", "en", "a", 22), (4, "some few words in here", "en", "a", 22), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.deduplicate(spark, frame, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, None), (2, ""), (3, rows[2][1]), (None, None)], key=str)
+    assert corpus_pipeline.deduplicate(spark, empty.select(corpus_pipeline.COLUMNS), "").count() == 0
+    null_key = spark.range(1).select(F.xxhash64(F.lit(""))).first()[0]
+    assert {r.th for r in mix_sources(frame).where("doc_id = 1 or doc_id is null").collect()} == {null_key}

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,13 +90,13 @@ def mix_sources(
     most_blocks: int = 4096,
     most_sources: int = 100_000,
 ) -> DataFrame:
-    """doc_id, th (hash of the text), key, size, source, source_size, target, taken, shards: a row for each row of ``documents``.
+    """doc_id, th (hash of the text, as in ``row_key``), key, size, source, source_size, target, taken, shards: a row for each row of ``documents``.
 
     taken: words the mix takes of it, repeats counted. shards: the output shard of each time it is taken (an array of
     ``most`` at most); ``deal`` makes the shards' ordered content of it.
     """
     spark = documents.sparkSession
-    base = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    base = documents.select(F.col("doc_id").cast("long"), row_key()[1], F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
     base = base.withColumn("key", F.xxhash64("doc_id", "th", "source", F.lit(seed)))
     base = materialise(base, "sizes")
     targets = materialise(source_targets(base.select("source", "size"), weights, most), "targets")
