@@ -6,14 +6,16 @@ driver share only that; where it is unset (tests), a temporary folder of this se
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_root: list[str] = []
@@ -52,6 +54,34 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BYTES = "67108864b"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch: str = "8m") -> DataFrame:
+    """``df.mapInArrow`` with batches of ``batch`` bytes (unless the session says otherwise), after which a worker gives back its memory."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        conf.set(_BATCH_BYTES, batch)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def _give_back() -> None:
+    """Workers stay when a task ends: hand what it freed to the system, so that tasks of other stages have it."""
+    _powers.shrink()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,6 +124,9 @@ class Powers:
     """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
 
     def __init__(self) -> None:
+        self.shrink()
+
+    def shrink(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
@@ -133,6 +166,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def prefix_sums(rows: DataFrame, group: list[str], order: Column, sums: dict[str, Column | str]) -> DataFrame:
+    """``rows`` with, for each (new name: value), the sum of the values before a row of its group in the ascending order of ``order``.
+
+    order: a 64-bit hash; rows of equal hashes are ordered by all their columns. Two levels, so no task holds a whole group: buckets
+    of hashes are summed first (4096 for each group at most) and rows are ordered inside their bucket.
+    """
+    names = rows.columns
+    rows = rows.withColumn("_o", order).withColumn("_b", F.shiftright("_o", 52)).withColumns({f"_v{i}": F.lit(1) if v == 1 else F.col(v) if isinstance(v, str) else v for i, v in enumerate(sums.values())})
+    totals = rows.groupBy(*group, "_b").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))))
+    upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "_b", *(F.coalesce(F.sum(f"_t{i}").over(upto), F.lit(0)).alias(f"_p{i}") for i in range(len(sums))))
+    inside = Window.partitionBy(*group, "_b").orderBy("_o", *names).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0)) for i in range(len(sums))})
+    out = rows.join(totals, [*group, "_b"])
+    return out.select(*names, *((F.col(f"_p{i}") + F.col(f"_i{i}")).alias(name) for i, name in enumerate(sums)))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): a row (node, root) for each node of an edge, root the least node.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, components, materialise, mix64, prefix_hash, row_blocks, row_key, span_hash, utf8
+from tidemark.llm.common import BYTE_VALUES, components, in_arrow, materialise, mix64, prefix_hash, row_blocks, row_key, span_hash, utf8
 
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 _SEPARATOR = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -147,7 +147,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     full sketch that linked documents surely have in common, in the inverted lists and in the union's estimate.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", "text", row_key()[1])
-    sketched = materialise(docs.mapInArrow(_sketches(words, k), _SKETCH), "sketches")
+    sketched = materialise(in_arrow(docs, _sketches(words, k), _SKETCH), "sketches")
     # A class is named by its least id, but its texts are found by a row of it: ids may all be null.
     row = F.min(F.struct(row_key()[0], "th")).alias("row")
     classes = sketched.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
@@ -171,7 +171,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
 
     listed = lists.select("fp").distinct().join(classes.select("fp", "row"), "fp").select("row.k", "row.th")
     texts = docs.withColumn("k", row_key()[0]).join(listed, ["k", "th"], "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_sets(words), _SET).dropDuplicates(["fp"]), "sets")
+    sets = materialise(in_arrow(texts, _sets(words), _SET).dropDuplicates(["fp"]), "sets")
     # A class weighs as much as its shingles (of a wider sketch) are common: the middle of a family weighs most.
     wide = sets.select("fp", F.explode(F.slice("shingles", 1, 4 * k)).alias("s"))
     often = materialise(wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")

@@ -3,19 +3,24 @@
 1. A document's size is its number of words. Sources share all words by weight; a source's target stops at ``most``
    times its own words and what is over goes to the others by weight (the level at which the shares settle is found by
    ordering the sources by limit over weight).
-2. Each source is cut into blocks by a hash of its documents: blocks are what the mix draws, so only counts of blocks
-   are planned and no window ever covers a whole source. A source is taken whole floor(target / words) times; the rest
-   of its target is drawn from its blocks in the order of a keyed permutation, whole blocks first, and then documents,
-   in the order of another keyed permutation, from the one block where the quota ends (its smallest ones fill the rest).
-3. A multivariate-hypergeometric splitting tree deals the drawn blocks to output shards: at each node the exact counts
-   of blocks by source are split at random between two halves of the shards, down to single shards. Each shard takes
-   the next blocks of each source's permutation, so shards are disjoint and each has nearly the mix of the whole.
+2. Each source is cut into blocks of about ``block_rows`` documents by a hash of them. A source is taken whole
+   floor(target / words) times; the rest of its target is drawn from its blocks in the order of a keyed permutation,
+   whole blocks first, and then documents, in the order of another keyed permutation, from the one block where the quota
+   ends (its smallest ones fill the rest).
+3. A multivariate-hypergeometric splitting tree deals the draws of blocks to output shards: at each node the exact counts
+   of draws by source are split at random between two halves of the shards, down to single shards. Each shard takes the
+   next draws of each source's permutation, so shards are disjoint and each has nearly the mix of the whole.
 4. Within a shard documents are ordered by a keyed hash.
 
-All draws are keyed by ``seed``: reruns agree. The planning table has a row for each source and block, at most
-``most_blocks`` for each source; the tree runs over counts by source on the driver, which is checked against
-``most_sources``. Null text has no words; null sources are a source of their own, the last one. A source without words
-has target 0 and none of it is taken. Repeated rows are hashed alike and stand in the same block.
+All draws are keyed by ``seed``: reruns agree. Blocks are ordered in two levels (``prefix_sums``), so no task holds a
+source. The tree runs on the driver over a count for each source, or, where there are more than ``tree_sources``, for
+each of so many groups of sources; a group's draws are permuted together, which deals them like a tree over its sources.
+Plans of more than ``broadcast_sources`` sources are joined by a shuffle.
+
+Null text has no words and empty text neither; null sources are a source of their own, the last one. A source without
+words has target 0 and none of it is taken. Repeated rows are hashed alike and stand in the same block, so their number
+is the least size of a block; each row has its own draws. Texts are only counted, whatever their length. Ties of hashes
+are ordered by all columns. An empty table gives no rows. Columns but doc_id, text, source and those in ``carry`` are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, row_key
+from tidemark.llm.common import materialise, prefix_sums, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,53 +92,51 @@ def mix_sources(
     shards: int = 64,
     seed: int = 20240229,
     block_rows: int = 64,
-    most_blocks: int = 4096,
-    most_sources: int = 100_000,
+    tree_sources: int = 4096,
+    broadcast_sources: int = 10_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, th (hash of the text, as in ``row_key``), key, size, source, source_size, target, taken, shards: a row for each row of ``documents``.
 
     taken: words the mix takes of it, repeats counted. shards: the output shard of each time it is taken (an array of
-    ``most`` at most); ``deal`` makes the shards' ordered content of it.
+    ``most`` at most); ``deal`` makes the shards' ordered content of it. carry: columns that go along, as c_<name>.
     """
     spark = documents.sparkSession
-    base = documents.select(F.col("doc_id").cast("long"), row_key()[1], F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    along = [F.col(c).alias(f"c_{c}") for c in carry]
+    base = documents.select(F.col("doc_id").cast("long"), row_key()[1], F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *along)
     base = base.withColumn("key", F.xxhash64("doc_id", "th", "source", F.lit(seed)))
     base = materialise(base, "sizes")
     targets = materialise(source_targets(base.select("source", "size"), weights, most), "targets")
     n_sources = targets.count()
-    if n_sources > most_sources:
-        raise ValueError(f"{n_sources} sources are more than most_sources={most_sources}")
 
     # Each source: whole passes, the quota of the rest, and its number of blocks.
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("passes", F.floor(ratio + 1e-9).cast("int")).withColumn("quota", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-    plan = plan.withColumn("blocks", F.least(F.lit(most_blocks), F.ceil(F.col("rows") / block_rows)).cast("long"))
-    # n_sources <= most_sources was checked: a few MB at most.
-    rows = base.join(F.broadcast(plan), base.source.eqNullSafe(plan.source)).drop(plan.source)
+    plan = plan.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("long"))
+    if n_sources <= broadcast_sources:
+        plan = F.broadcast(plan)
+    rows = base.join(plan, base.source.eqNullSafe(plan.source)).drop(plan.source)
     rows = rows.withColumn("block", F.pmod("key", "blocks"))
 
     sums = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("passes").alias("passes"))
-    drawn = Window.partitionBy("sid").orderBy(F.xxhash64("sid", "block", F.lit(seed + 1)), "block")  # at most most_blocks rows
-    sums = sums.withColumn("rank", F.row_number().over(drawn) - 1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(drawn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = materialise(sums, "blocks")
-
-    # Draws of whole blocks: each pass draws all blocks of a source, the rest those up to the quota.
-    counts = sums.groupBy("sid").agg(F.sum(F.col("passes") + (F.col("before") < F.col("quota")).cast("int")).cast("long").alias("n")).orderBy("sid").collect()  # a row for each source
-    tree = splitting_tree([r.n for r in counts], shards, seed)
-    starts = np.zeros_like(tree)
-    np.cumsum(tree[:-1], axis=0, out=starts[1:])
-    ranges = [(int(counts[s].sid), int(h), int(starts[h, s]), int(tree[h, s])) for h in range(shards) for s in range(len(counts)) if tree[h, s]]
-    quotas = spark.createDataFrame(ranges, "sid int, shard int, start long, n long").select("sid", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("draw"))
-    per_pass = sums.groupBy("sid").agg(F.count("*").alias("per_pass"))
-    # The draws of a source in order: its blocks by rank, pass after pass.
-    quotas = quotas.join(per_pass, "sid").select("sid", F.struct(F.floor(F.col("draw") / F.col("per_pass")).alias("pass"), "shard").alias("d"), (F.col("draw") % F.col("per_pass")).cast("int").alias("rank"))
-    dealt = quotas.groupBy("sid", "rank").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["shard"]).alias("shards"))  # most at most
+    sums = materialise(prefix_sums(sums, ["sid"], F.xxhash64("sid", "block", F.lit(seed + 1)), {"before": "words"}), "blocks")
+
+    # The draws: each pass draws all blocks of a source, the rest those up to the quota.
+    group = F.col("sid") if n_sources <= tree_sources else F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(tree_sources)).cast("int")
+    times = F.col("passes") + (F.col("before") < F.col("quota")).cast("int")
+    draws = sums.select(group.alias("gid"), "sid", "block", F.explode(F.sequence(F.lit(1), times)).alias("pass"), times.alias("times")).where("pass <= times").drop("times")
+    counts = draws.groupBy("gid").agg(F.count("*").alias("n")).orderBy("gid").collect()  # tree_sources rows at most
+    ends = splitting_tree([r.n for r in counts], shards, seed).cumsum(axis=0).T
+    cuts = spark.createDataFrame([(r.gid, [int(x) for x in e]) for r, e in zip(counts, ends, strict=True)], "gid int, ends array<long>")
+    draws = prefix_sums(draws, ["gid"], F.xxhash64("sid", "block", "pass", F.lit(seed + 4)), {"draw": 1}).join(F.broadcast(cuts), "gid")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("draw")))
+    dealt = draws.select("sid", "block", F.struct("pass", shard.alias("shard")).alias("d")).groupBy("sid", "block")
+    dealt = dealt.agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["shard"]).alias("shards"))  # most at most
 
     # Whole blocks end within the quota; the block where it ends is drawn document by document.
     inside, edge = F.col("before") + F.col("words") <= F.col("quota"), (F.col("before") < F.col("quota")) & (F.col("before") + F.col("words") > F.col("quota"))
-    state = sums.select("sid", "block", "rank", F.col("before").alias("block_before"), inside.alias("inside"), edge.alias("edge")).join(dealt, ["sid", "rank"], "left")
-    rows = rows.join(state, ["sid", "block"])
+    state = sums.select("sid", "block", F.col("before").alias("block_before"), inside.alias("inside"), edge.alias("edge")).join(dealt, ["sid", "block"], "left")
+    rows = rows.join(materialise(state, "dealt"), ["sid", "block"])
     of_block = Window.partitionBy("sid", "block")
     tie = (F.xxhash64("key", F.lit(seed + 2)), F.col("doc_id"), F.col("th"))
     upto = of_block.orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -148,10 +151,16 @@ def mix_sources(
     times = F.least(F.col("passes") + F.col("extra"), F.lit(most))
     chosen = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), times)
     out = rest.unionByName(last).withColumn("shards", chosen)
-    return out.select("doc_id", "th", "key", "size", "source", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
+    return out.select("doc_id", "th", "key", "size", "source", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards", *(f"c_{c}" for c in carry))
 
 
 def deal(mix: DataFrame, seed: int = 20240229) -> DataFrame:
-    """A row for each time ``mix`` takes a document: doc_id, th, key, source, repeat, shard, position (the order within the shard)."""
-    rows = mix.select("doc_id", "th", "key", "source", F.posexplode("shards").alias("repeat", "shard"))
+    """A row for each time ``mix`` takes a document: its columns but size, taken and shards, and repeat, shard, position (the order within the shard)."""
+    rest = [c for c in mix.columns if c not in ("size", "source_size", "target", "taken", "shards")]
+    rows = mix.select(*rest, F.posexplode("shards").alias("repeat", "shard"))
     return rows.withColumn("position", F.xxhash64("key", "repeat", "shard", F.lit(seed + 3)))
+
+
+def mixed_order(dealt: DataFrame) -> DataFrame:
+    """``deal``'s rows as they are to be written: shard after shard in as many partitions as the session shuffles, each in its order."""
+    return dealt.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")

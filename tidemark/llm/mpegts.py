@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import in_arrow
+
 PACKET = 188
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x1000, 0x0100
 PRIVATE_DATA = 0x06
@@ -212,7 +214,7 @@ def _encode(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[
 
 def media_column(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the text (null: empty) in UTF-8, padded and stored as a transport stream."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return in_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _encode, "doc_id long, n_bytes long, media binary")
 
 
 _PARSED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts_first long, pts_last long, access_points array<long>"
@@ -233,7 +235,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe_media(media: DataFrame) -> DataFrame:
     """What ``parse`` reads back from each row of (doc_id, n_bytes, media)."""
-    return media.mapInArrow(_describe, _PARSED)
+    return in_arrow(media, _describe, _PARSED)
 
 
 def media_features(documents: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, materialise, prefix_hash, row_blocks, span_hash, utf8
+from tidemark.llm.common import BYTE_VALUES, in_arrow, materialise, prefix_hash, row_blocks, span_hash, utf8
 from tidemark.llm.langid import fold
 
 #: Names in order; shares are of the characters unless said otherwise.
@@ -128,7 +128,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, stats (array<double> in the order of STATISTICS)."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(_statistics, "doc_id long, stats array<double>")
+    return in_arrow(docs, _statistics, "doc_id long, stats array<double>")
 
 
 class Model:
@@ -214,14 +214,14 @@ def fit_quality(labelled: DataFrame, features: int = 384, width: float = 4.5, ri
     if not moments.n:
         return model
     model.share = np.array([moments.p])
-    sums = labelled.where(~aside).select("stats", "label").mapInArrow(_equations(model), "row int, sums array<double>")
+    sums = in_arrow(labelled.where(~aside).select("stats", "label"), _equations(model), "row int, sums array<double>")
     rows = sums.groupBy("row").applyInArrow(_add, "row int, sums array<double>").orderBy("row").collect()  # features + 1 rows
     if not rows:
         return model
     m = np.array([r.sums for r in rows])
     a, b = m[:, :-1], m[:, -1]
     model.weights = np.linalg.solve(a + ridge * a[-1, -1] * np.diag([1 / len(a)] * (len(a) - 1) + [1e-9]), b)
-    raw = labelled.where(aside).select("stats", "label").mapInArrow(_scored(model, True), "label double, score double")
+    raw = in_arrow(labelled.where(aside).select("stats", "label"), _scored(model, True), "label double, score double")
     held = raw.groupBy(F.round(F.least(F.greatest("score", F.lit(-1.0)), F.lit(2.0)) * bins / 3).alias("bin")).agg(F.avg("score").alias("x"), F.sum("label").alias("ones"), F.count("*").alias("n"))
     held = held.orderBy("bin").collect()  # bins + 1 rows at most
     if held:
@@ -236,5 +236,5 @@ def score_quality(documents: DataFrame, labels: DataFrame, held_out: int = 2, fo
     known = known.where(fold("doc_id", folds) != held_out)
     labelled = materialise(stats.join(known, "doc_id"), "labelled")
     model = fit_quality(labelled)
-    scored = stats.mapInArrow(_scored(model, False), "doc_id long, score double")
+    scored = in_arrow(stats, _scored(model, False), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

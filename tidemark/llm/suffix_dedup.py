@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_VALUES, discard, materialise, prefix_hash, release, row_blocks, row_key, span_hash, utf8
+from tidemark.llm.common import BYTE_VALUES, discard, in_arrow, materialise, prefix_hash, release, row_blocks, row_key, span_hash, utf8
 
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23  # bytes of a text that are looked at at once
@@ -292,7 +292,7 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     """k, th, spans: byte spans (a, b) to remove of each document that has some, by its ``row_key``; spans may overlap."""
     spark = documents.sparkSession
     docs = documents.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    marks = materialise(docs.mapInArrow(_find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
+    marks = materialise(in_arrow(docs, _find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
     # Written first: a join of two exchanges can be split where one hash has very many places.
     twice = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     found = marks.join(twice, "h").groupBy("k", "th").agg(F.collect_list(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
@@ -301,7 +301,7 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     discard(marks, twice)
     del marks, twice
     release(spark)
-    cut = materialise(docs.join(found, ["k", "th"]).select("k", "th", "text", "found").mapInArrow(_cut(length), _SNIPPET), "snippets")
+    cut = materialise(in_arrow(docs.join(found, ["k", "th"]).select("k", "th", "text", "found"), _cut(length), _SNIPPET), "snippets")
     discard(found)
     del docs, found
     release(spark)
@@ -309,7 +309,7 @@ def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batc
     snippets = cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet")
     hot = snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > most_snippets).select("h")
     hot = materialise(hot, "hot")
-    spans = snippets.join(hot, "h", "left_anti").repartition("h").mapInArrow(_index(length, gram, batch_rows), _SPAN)
+    spans = in_arrow(snippets.join(hot, "h", "left_anti").repartition("h"), _index(length, gram, batch_rows), _SPAN)
     if not hot.isEmpty():
         own = snippets.join(hot, "h", "left_semi").groupBy("s1", "s2").agg(F.first("snippet").alias("snippet"), F.sum("n").alias("n"))
         windows = own.select("s1", "s2", "n", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - length)).alias("x"), "snippet")
@@ -331,4 +331,4 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = 64, **li
     release(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *row_key(), "text")
     out = docs.join(spans, ["k", "th"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(out, _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

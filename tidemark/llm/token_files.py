@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_blocks, scratch_path, utf8
+from tidemark.llm.common import in_arrow, row_blocks, scratch_path, utf8
 
 _NULL_ID = -(2**63)
 #: White space that stands in the way of cutting a text before each single space and line feed: such texts are encoded whole.
@@ -264,14 +264,16 @@ def _write_shard(folder: str, tokenizer: str, end_id: int, batch_bytes: int):
     return run
 
 
-def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_bytes: int = 8 << 20) -> list[dict]:
+def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_bytes: int = 8 << 20, order: tuple[str, ...] = ()) -> list[dict]:
     """Write (doc_id, text) as token files below ``folder``; a list with a dict (shard, docs, tokens, width, base) for each shard.
 
-    folder: a URI or path that all executors and readers share. The list is as long as there are shards.
+    folder: a URI or path that all executors and readers share. The list is as long as there are shards. order: columns by
+    which the documents are ordered, if not by their ids.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
-    ordered = docs.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    rows = ordered.mapInArrow(_write_shard(folder, tokenizer, end_id, batch_bytes), "shard long, docs long, tokens long, width long").collect()
+    docs = documents.select(*order, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
+    by = [*order, "id", "th"]
+    ordered = docs.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col("id").alias("doc_id"), F.col("t").alias("text"))
+    rows = in_arrow(ordered, _write_shard(folder, tokenizer, end_id, batch_bytes), "shard long, docs long, tokens long, width long").collect()
     manifest, base = [], 0
     for row in sorted(rows, key=lambda r: r.shard):
         manifest.append(row.asDict() | {"base": base})
@@ -322,14 +324,15 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 _INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def token_index(documents: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
+def token_index(documents: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, as read back from the token files it writes.
 
-    start: token ids of all documents before it. folder: where the files stay; a scratch folder by default.
+    start: token ids of all documents before it. folder: where the files stay; a scratch folder by default. order: columns
+    that the documents are ordered by, if not by their ids.
     An empty table makes no file and gives no rows.
     """
     spark = documents.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    manifest = write_token_files(documents, folder, tokenizer, end_id)
+    manifest = write_token_files(documents, folder, tokenizer, end_id, order=order)
     shards = spark.createDataFrame([(m["shard"], m["width"], m["base"]) for m in manifest], "shard long, width long, base long")
-    return shards.repartition(max(1, len(manifest))).mapInArrow(_read(folder), _INDEX)
+    return in_arrow(shards.repartition(max(1, len(manifest))), _read(folder), _INDEX)
