@@ -25,9 +25,8 @@ SECOND = StreamConfig(1000, interval=100, disorder=500)
 def generated(spark: SparkSession, keys: int, parts: int = 0):
     """One million generated records of ``keys`` keys, tumbling windows of a second, late records dropped."""
     stream = generate(spark, GeneratorConfig(records=1_000_000, keys=keys)).withColumnRenamed("event_time_ms", "e")
-    if parts:
-        stream = partition.with_partition(stream, parts).repartition(parts, "p")
-    return windows.sum_count(lateness.accepted(stream, SECOND), SECOND)
+    pairs = lateness.accepted(stream, SECOND)
+    return partition.partitioned_sum_count(pairs, parts, SECOND) if parts else windows.sum_count(pairs, SECOND)
 
 
 def main() -> None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import StreamConfig
 from tidemark.operators import lateness, watermark, windows
+from tidemark.sinks import DurableSink, for_each_batch
 from tidemark.sources.generator import GeneratorConfig, generate
 from tidemark.streaming import engine
 
@@ -19,9 +20,10 @@ def test_append_mode_matches_batch(spark, tmp_path):
     # A record far ahead stands for the final flush, which streams don't have.
     spark.createDataFrame([("flush", 0, 10**9)], "key string, value long, e long").write.parquet(str(tmp_path / "in/b"))
     live = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    query = engine.append_windows(live, c).writeStream.foreachBatch(engine.durable_sink(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    sink = DurableSink(spark, str(tmp_path / "out"))
+    query = engine.append_windows(live, c).writeStream.foreachBatch(for_each_batch(sink)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = by_window(spark.read.parquet(str(tmp_path / "out")).collect())
+    got = by_window(r for r in sink.read_all().collect() if r.key != "flush")
     want = by_window(windows.sum_count(windows.assign_windows(stream.withColumn("offset", F.lit(1)), c), c).collect())
     assert got == want
 

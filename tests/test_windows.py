@@ -121,6 +121,6 @@ def test_hashes(spark):
 
 
 def test_aligned_cuts_from_counts():
-    assert merge.align([2000, 6000], [100, 300]) == [400 * n for n in range(1, 21)]
+    assert merge.align([2000, 6000], [100, 300], 0) == [400 * n for n in range(1, 21)]
     assert merge.align([6000, 6000], [50, 5000])[0] == 5050
     assert merge.align([5000], [1000]) == [1000, 2000, 3000, 4000, 5000]

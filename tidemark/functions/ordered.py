@@ -9,6 +9,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A table of at most so many bytes (by the optimiser's estimate, from file sizes) is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a frame's size, from file sizes and ranges; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(table: DataFrame, estimate: float) -> DataFrame:
+    """``table`` with a broadcast hint if its estimated bytes allow it; else the join shuffles."""
+    return F.broadcast(table) if estimate <= BROADCAST_BYTES else table
+
+
+def running_max(rows: DataFrame, order: str, value: str, width: int = 4096) -> DataFrame:
+    """``rows`` with upto, the greatest ``value`` up to a row in the order of ``order`` (whole numbers, distinct), and before, that of the rows before it.
+
+    Buckets of ``width`` numbers are summed up first; only a row for each bucket is ordered as a whole.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col(order) / width))
+    tops = rows.groupBy("_b").agg(F.max(value).alias("_t"))
+    earlier = F.max("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select("_b", earlier.alias("_p"))
+    inside = Window.partitionBy("_b").orderBy(order)
+    rows = rows.withColumn("_u", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_w", F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    out = rows.join(tops, "_b")
+    return out.withColumn("upto", F.greatest("_u", "_p")).withColumn("before", F.greatest("_w", "_p")).drop("_b", "_t", "_p", "_u", "_w")
+
+
 def dense_offsets(rows: DataFrame, bucket: Column, order: list[Column], name: str = "offset") -> DataFrame:
     """``rows`` with 1, 2, ... in the order of (bucket, *order); bucket must not fall where the order rises."""
     rows = rows.withColumn("_b", bucket)

@@ -31,6 +31,12 @@ def panes_at(pairs: DataFrame, fires: DataFrame, wms: DataFrame, offset: int, co
     return parts.join(live, "s")
 
 
+def window_marks(panes: DataFrame, late: DataFrame, offset: int, config: StreamConfig) -> DataFrame:
+    """s, fired, again: the windows of ``panes``, and whether a late record accepted up to ``offset`` still waits to be emitted."""
+    due = late.where((F.col("offset") <= offset) & (F.col("refire") > offset // config.interval)).select("s", F.lit(True).alias("again")).distinct()
+    return panes.select("s", "fired").distinct().join(due, "s", "left").select("s", "fired", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 def restore(pairs: DataFrame, panes: DataFrame, log: DataFrame, offset: int, config: StreamConfig) -> DataFrame:
     """Results of a run restored from ``panes`` at ``offset`` and replayed after it; windows gone by then keep what was emitted."""
     replay = pairs.where(F.col("offset") > offset).select("key", "s", F.col("value").alias("sum"), F.lit(1).cast("long").alias("count"))

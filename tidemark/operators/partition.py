@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import fnv1a_column, unsigned_mod
+from tidemark.model import StreamConfig
+from tidemark.operators.windows import sum_count
 
 
 def partition_of(key: Column, n: int) -> Column:
@@ -17,3 +19,8 @@ def with_partition(rows: DataFrame, n: int, name: str = "p") -> DataFrame:
     """``rows`` with the partition of their key; keys are hashed once each."""
     keys = rows.select("key").distinct().select("key", partition_of(F.col("key"), n).alias(name))
     return rows.join(keys, "key")
+
+
+def partitioned_sum_count(pairs: DataFrame, n: int, config: StreamConfig) -> DataFrame:
+    """``sum_count`` dealt to n partitions by key, with p: summed before keys are routed, so a shuffle carries sums and no records."""
+    return with_partition(sum_count(pairs, config), n).repartition(n, "p")

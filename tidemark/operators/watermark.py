@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import carry_forward
+from tidemark.functions.ordered import broadcast_if_small, estimated_bytes, running_max
 from tidemark.model import StreamConfig
 
 
@@ -13,12 +13,9 @@ def trajectory(stream: DataFrame, config: StreamConfig) -> DataFrame:
     """j, wm, before (the watermark of j - 1): one row for each complete interval of records."""
     i = config.interval
     tops = stream.groupBy(F.floor((F.col("offset") - 1) / i + 1).alias("j")).agg(F.max("e").alias("top"), F.count("*").alias("n"))
-    tops = tops.where(F.col("n") == i).withColumn("bucket", F.floor(F.col("j") / 4096))
-    out = carry_forward(tops, "bucket", ["j"], {"upto": "top"}, "max")
-    wm = F.greatest(F.lit(0), F.col("upto") - config.disorder)
-    out = out.select("j", wm.cast("long").alias("wm"))
-    # j is dense, so the row before is that of j - 1.
-    return out.join(out.select((F.col("j") + 1).alias("j"), F.col("wm").alias("before")), "j", "left")
+    out = running_max(tops.where(F.col("n") == i).select("j", "top"), "j", "top")
+    wm = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.col(c) - config.disorder)).cast("long")
+    return out.select("j", wm("upto").alias("wm"), wm("before").alias("before"))
 
 
 def advances(wms: DataFrame) -> DataFrame:
@@ -27,6 +24,16 @@ def advances(wms: DataFrame) -> DataFrame:
 
 
 def in_force(stream: DataFrame, wms: DataFrame, config: StreamConfig) -> DataFrame:
-    """``stream`` with slot (complete intervals before the record) and wm_in (null before the first watermark)."""
+    """``stream`` with slot (complete intervals before the record) and wm_in (null before the first watermark).
+
+    There is a watermark for each ``interval`` records, so its table's size follows from the stream's.
+    """
     rows = stream.withColumn("slot", F.floor((F.col("offset") - 1) / config.interval))
-    return rows.join(wms.select(F.col("j").alias("slot"), F.col("wm").alias("wm_in")), "slot", "left")
+    table = wms.select(F.col("j").alias("slot"), F.col("wm").alias("wm_in"))
+    return rows.join(broadcast_if_small(table, estimated_bytes(stream) / config.interval), "slot", "left")
+
+
+def output_watermark(partitions: DataFrame) -> DataFrame:
+    """wm: the least watermark over all partitions (p, wm), null while one of them has none. One row."""
+    last = partitions.groupBy("p").agg(F.max("wm").alias("wm"))
+    return last.agg(F.when(F.count("wm") == F.count("*"), F.min("wm")).alias("wm"))

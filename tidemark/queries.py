@@ -12,11 +12,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import CheckpointStore, Snapshot, checkpoint_files, partition_stores
 from tidemark.model import HOUR, StreamConfig
 from tidemark.operators import checkpoint, emissions, lateness, merge, partition, watermark, windows
-from tidemark.plans.scratch import written
+from tidemark.plans.scratch import scratch_folder, written
 from tidemark.sources import tables
-from tidemark.sources.generator import GeneratorConfig, generate
+from tidemark.sources.generator import MULTIPLIERS, PRIME, GeneratorConfig, generate
 
 TUMBLING = StreamConfig(6 * HOUR)
 TUMBLING_LATE = StreamConfig(6 * HOUR, lateness=12 * HOUR)
@@ -26,6 +27,8 @@ GAPS = StreamConfig(5 * HOUR, slide=8 * HOUR)
 IDLE = (merge.IdleSpan(src=2, start=60, length=150, timeout=30),)
 BARRIER, SNAPSHOT, CRASH, STOP = 100, 500, 800, 700
 SOURCES = 3
+PARTS = 2
+BOUNDED, HEAVY = GeneratorConfig(), GeneratorConfig(records=20_000, keys=10, late_fraction=0.1)
 
 
 class Run:
@@ -37,11 +40,23 @@ class Run:
         self.stream = tables.event_stream(spark, sf_dir) if stream is None else stream
         if parts:
             self.stream = partition.with_partition(self.stream, parts)
-        self.stream = written(self.stream, "stream")
-        self.wms = written(watermark.trajectory(self.stream, config), "watermarks")
-        self.adv = watermark.advances(self.wms)
-        self.all_pairs = written(lateness.classify(self.stream, self.wms, config), "pairs")
-        self.pairs = self.all_pairs.where(~F.col("dropped"))
+
+    @cached_property
+    def wms(self) -> DataFrame:
+        return written(watermark.trajectory(self.stream, self.config), "watermarks")
+
+    @cached_property
+    def adv(self) -> DataFrame:
+        return watermark.advances(self.wms)
+
+    @cached_property
+    def all_pairs(self) -> DataFrame:
+        """Written, since fires, late records and results all read it."""
+        return written(lateness.classify(self.stream, self.wms, self.config), "pairs")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self.all_pairs.where(~F.col("dropped"))
 
     @cached_property
     def fires(self) -> DataFrame:
@@ -104,7 +119,7 @@ def authoritative_results(spark: SparkSession, d: str) -> DataFrame:
 
 def _stats(run: Run) -> DataFrame:
     """One row: the counters of a run."""
-    rows = run.stream.agg(F.count("*").alias("records_processed"))
+    rows = run.all_pairs.agg(F.countDistinct("offset").alias("records_processed"))  # tumbling or overlapping windows: every record has one
     fired = run.fires.agg(F.count("*").alias("windows_fired"))
     refired = run.late.select(*run.group, "refire").distinct().agg(F.count("*").alias("windows_refired"))
     late = run.late.agg(F.countDistinct("offset").alias("late_records_accepted"))
@@ -155,14 +170,10 @@ def _combined(idle: tuple[merge.IdleSpan, ...]) -> Callable[[SparkSession, str],
 
 def merged_late_drop(spark: SparkSession, d: str) -> DataFrame:
     """Results over the merged stream: the watermark in force is the last one emitted before the record."""
-    from tidemark.functions.ordered import carry_forward
-
     sources = _sources(spark, d)
     stream = merge.merge_sources(sources, SOURCES, TUMBLING_LATE).withColumn("offset", F.col("merged_offset"))
     wms = merge.combined_watermark(sources, SOURCES, TUMBLING_LATE)
-    both = stream.select("offset", F.lit(0).alias("after"), "key", "value", "e", F.lit(None).cast("long").alias("wm"))
-    both = both.union(wms.select("merged_offset", F.lit(1), F.lit(None), F.lit(None), F.lit(None), "wm_ms")).withColumn("bucket", F.floor(F.col("offset") / 65_536))
-    rows = carry_forward(both, "bucket", ["offset", "after", "wm"], {"wm_in": "wm"}, "max").where("after = 0")
+    rows = merge.with_watermark(stream, wms)
     pairs = lateness.mark_dropped(windows.assign_windows(rows, TUMBLING_LATE), TUMBLING_LATE)
     return windows.sum_count(pairs.where(~F.col("dropped")), TUMBLING_LATE)
 
@@ -198,22 +209,92 @@ def recovery_union(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint.recovery_union(run.log(), SNAPSHOT // run.config.interval, CRASH // run.config.interval, run.config)
 
 
+def _snapshot(store: CheckpointStore, run: Run, offset: int, part: int | None = None) -> None:
+    """Write the state after ``offset`` records, of one partition or of all."""
+    panes = checkpoint.panes_at(run.pairs, run.fires, run.wms, offset, run.config)
+    marks = checkpoint.window_marks(panes, run.late, offset, run.config)
+    if part is not None:
+        panes = partition.with_partition(panes, PARTS).where(F.col("p") == part)
+    wm = run.wms.where(F.col("j") == offset // run.config.interval).first()
+    store.write(offset, wm.wm if wm else None, panes, marks)
+
+
+def _shown(snapshot: Snapshot, run: Run) -> DataFrame:
+    out = snapshot.panes.join(F.broadcast(snapshot.windows), "s")  # live windows: a row for each
+    return out.select("key", F.col("s").alias("window_start_ms"), (F.col("s") + run.config.size).alias("window_end_ms"), "sum", "count", "fired")
+
+
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot as loaded from its files."""
+    run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
+    _snapshot(store, run, SNAPSHOT)
+    return _shown(store.load(SNAPSHOT), run)
+
+
+def torn_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of two snapshots is torn: the one before it is loaded."""
+    run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
+    for offset in (SNAPSHOT - BARRIER, SNAPSHOT):
+        _snapshot(store, run, offset)
+    store.folder.delete(f"checkpoint-{SNAPSHOT}/windows")
+    return _shown(store.load_latest(), run)
+
+
+def restore_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a run restored from stored files and replayed after them."""
+    run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
+    _snapshot(store, run, SNAPSHOT)
+    snapshot = store.load_latest()
+    return checkpoint.restore(run.pairs, snapshot.panes, run.log(), snapshot.offset, run.config)
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """Checkpoint files of four partitions; the last barrier's set is torn, one partition did not write it."""
-    cuts = barrier_offsets(spark, d).select(F.col("cut_offset").alias("offset"))
-    last = cuts.agg(F.max("offset").alias("last"))
-    rows = cuts.join(F.broadcast(last), how="inner").withColumn("partition", F.explode(F.array(*map(F.lit, range(4)))))
-    return rows.where("not (offset = last and partition = 0)").select("partition", "offset")
+    """The snapshots that partitions have of the last two barriers; the last set is torn, one partition's manifest is gone."""
+    run = Run(spark, d, TUMBLING_LATE)
+    last = barrier_offsets(spark, d).agg(F.max("cut_offset").alias("last")).first().last
+    stores = partition_stores(spark, scratch_folder(spark, "checkpoints"), PARTS)
+    for part, store in enumerate(stores):
+        for offset in (last - BARRIER, last):
+            _snapshot(store, run, offset, part)
+    stores[0].folder.delete(f"checkpoint-{last}/manifest")
+    return checkpoint_files(spark, stores)
 
 
 def highest_complete_checkpoint(spark: SparkSession, d: str) -> DataFrame:
-    return checkpoint.highest_complete(_files(spark, d), 4)
+    return checkpoint.highest_complete(_files(spark, d), PARTS)
 
 
 def highest_partial_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint.highest_partial(_files(spark, d))
 
 
+def cuts_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned cuts of sources of which one is idle for a while."""
+    return merge.cuts_with_gaps(_sources(spark, d), merge.source_intervals([BARRIER // 10, 0, 0], BARRIER // 5), TUMBLING.interval, IDLE)
+
+
+def merged_seek(spark: SparkSession, d: str) -> DataFrame:
+    """The merged stream after an offset, idle spans before it included."""
+    out = merge.seek_merged(merge.merge_sources(_sources(spark, d), SOURCES, TUMBLING, IDLE), SNAPSHOT)
+    return out.select("merged_offset", "src", "key", "value", F.col("e").alias("event_time_ms"))
+
+
+def merge_one(spark: SparkSession, d: str) -> DataFrame:
+    """One source merged: the order and the strict advances of its own watermark."""
+    one = written(tables.split_sources(written(tables.event_stream(spark, d), "stream"), 1), "sources")
+    stream = merge.merge_sources(one, 1, TUMBLING).withColumn("offset", F.col("merged_offset"))
+    rows = merge.with_watermark(stream, merge.combined_watermark(one, 1, TUMBLING))
+    return rows.select("merged_offset", "key", "value", F.col("e").alias("event_time_ms"), F.col("wm_in").alias("wm_ms"))
+
+
+def output_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """The least watermark over the partitions after each barrier: all of them see every watermark."""
+    wms = Run(spark, d, TUMBLING).wms
+    marks = wms.where(F.col("j") * TUMBLING.interval % BARRIER == 0)
+    seen = marks.withColumn("p", F.explode(F.array(*map(F.lit, range(PARTS)))))
+    return seen.groupBy("j").agg(F.min("wm").alias("wm_ms")).select((F.col("j") * TUMBLING.interval).alias("cut_offset"), "wm_ms")
+
+
 def stop_at(spark: SparkSession, d: str) -> DataFrame:
     return Run(spark, d, TUMBLING_LATE, tables.stop_at(tables.event_stream(spark, d), STOP)).results()
 
@@ -224,11 +305,11 @@ def seek_resume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gen_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return generate(spark, GeneratorConfig())
+    return generate(spark, BOUNDED)
 
 
 def gen_heavy_tailed(spark: SparkSession, d: str) -> DataFrame:
-    return generate(spark, GeneratorConfig(records=20_000, keys=10, late_fraction=0.1))
+    return generate(spark, HEAVY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -261,6 +342,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recovery_union": recovery_union,
     "highest_complete_checkpoint": highest_complete_checkpoint,
     "highest_partial_checkpoint": highest_partial_checkpoint,
+    "snapshot_roundtrip": snapshot_roundtrip,
+    "torn_fallback": torn_fallback,
+    "restore_from_snapshot": restore_from_snapshot,
+    "cuts_with_gaps": cuts_with_gaps,
+    "merged_seek": merged_seek,
+    "merge_one": merge_one,
+    "output_watermark": output_watermark,
     "stop_at": stop_at,
     "seek_resume": seek_resume,
     "gen_bounded": gen_bounded,
@@ -336,7 +424,32 @@ rising AS (SELECT *, max(least) OVER (ORDER BY g, sub ROWS BETWEEN UNBOUNDED PRE
 emitted AS (SELECT merged_offset, least AS wm_ms FROM rising WHERE sub = 1 AND least IS NOT NULL AND (upto IS NULL OR least > upto))"""
 _EMITTED = "SELECT merged_offset, wm_ms FROM emitted"
 
+
+
+def _panes_sql(offset: int) -> str:
+    """Live panes after ``offset`` records."""
+    c, j = TUMBLING_LATE, offset // TUMBLING_LATE.interval
+    return _sql(c, f"""SELECT k AS "key", s AS window_start_ms, s + {c.size} AS window_end_ms, sum(v)::BIGINT AS "sum", count(*) AS "count", any_value(fj >= 0 AND fj <= {j}) AS fired
+FROM acc JOIN fires USING (s) WHERE o <= {offset} AND NOT (fj >= 0 AND fj <= {j} AND (SELECT wm FROM wm WHERE j = {j}) >= s + {c.size + c.lateness}) GROUP BY k, s""")
+
+
+def _gen_sql(c: GeneratorConfig) -> str:
+    """The generator's records by row numbers and the same arithmetic."""
+    m = [int(x) for x in MULTIPLIERS]
+
+    def draw(what: int, n: int) -> str:
+        x = f"((o % {PRIME}) * {m[0]} + {c.seed % PRIME * m[1] + what * m[2]}) % {PRIME}"
+        y = f"(({x}) * ({x}) + {what}) % {PRIME}"
+        return f"((((({y}) * {m[3]} + ({x})) % {PRIME}) * ({y})) % {PRIME}) % {n}"
+
+    moved = f"CASE WHEN {draw(2, 1_000_000)} < {int(c.late_fraction * 1_000_000)} THEN -({c.disorder + 1} + {draw(3, max(1, c.tail))}) ELSE -({draw(1, c.disorder + 1)}) END"
+    return f"""SELECT o AS "offset", 'key-' || lpad(((o - 1) % {c.keys})::VARCHAR, 4, '0') AS "key", {draw(4, 1000)} + 1 AS "value",
+greatest(0, (o - 1) * {c.step} + {moved})::BIGINT AS event_time_ms, ((o - 1) * {c.step})::BIGINT AS processing_time_ms FROM (SELECT unnest(range(1, {c.records + 1}))::BIGINT AS o)"""
+
+
 SQL: dict[str, str] = {
+    "gen_bounded": _gen_sql(BOUNDED),
+    "gen_heavy_tailed": _gen_sql(HEAVY),
     "watermark_trajectory": _sql(TUMBLING, "SELECT j, wm AS wm_ms FROM wm"),
     "watermark_advances": _sql(TUMBLING, "SELECT j, wm AS wm_ms FROM adv"),
     "tumbling_sum_count": _sql(TUMBLING, _result("pairs", TUMBLING.size)),
@@ -368,8 +481,13 @@ kept AS (SELECT rec.* FROM rec ASOF LEFT JOIN emitted ON rec.merged_offset > emi
     "aligned_cuts": f"WITH {_STREAM}, src AS (SELECT (event_id % 3)::INT AS src, row_number() OVER (PARTITION BY event_id % 3 ORDER BY o) AS so FROM st), ep AS (SELECT (so - 1) // (10 * (src + 1)) + 1 AS epoch, src, count(*) AS n FROM src GROUP BY 1, 2), whole AS (SELECT epoch, sum(n) AS n FROM ep WHERE n = 10 * (src + 1) GROUP BY 1 HAVING count(*) = 3) SELECT epoch, (sum(n) OVER (ORDER BY epoch))::BIGINT AS cut_offset FROM whole",
     "partition_assign": f"WITH {_STREAM}, n AS (SELECT unnest([1, 2, 4, 8]) AS n) SELECT k AS \"key\", n, ({_FNV} % n)::INT AS \"partition\" FROM (SELECT DISTINCT k FROM st), n",
     "partitioned_stats": " UNION ALL ".join(f"SELECT * FROM ({_sql(TUMBLING_LATE, f'SELECT {n} AS n, {_COUNTERS}', keyed=f'({_FNV} % {n})::INT')})" for n in (1, 2, 4)),
-    "pane_snapshot_at": _sql(TUMBLING_LATE, f"""SELECT k AS "key", s AS window_start_ms, s + {TUMBLING_LATE.size} AS window_end_ms, sum(v)::BIGINT AS "sum", count(*) AS "count", any_value(fj >= 0 AND fj <= {SNAPSHOT // 10}) AS fired
-FROM acc JOIN fires USING (s) WHERE o <= {SNAPSHOT} AND NOT (fj >= 0 AND fj <= {SNAPSHOT // 10} AND (SELECT wm FROM wm WHERE j = {SNAPSHOT // 10}) >= s + {TUMBLING_LATE.size + TUMBLING_LATE.lateness}) GROUP BY k, s"""),
+    "pane_snapshot_at": _panes_sql(SNAPSHOT),
+    "snapshot_roundtrip": _panes_sql(SNAPSHOT),
+    "torn_fallback": _panes_sql(SNAPSHOT - BARRIER),
+    "restore_from_snapshot": _sql(TUMBLING_LATE, _result("acc", TUMBLING_LATE.size)),
+    "merged_seek": _merge_sql(f"""SELECT merged_offset, src, k AS "key", v AS "value", e AS event_time_ms FROM seq WHERE kind = 'r' AND merged_offset > {SNAPSHOT}""", True),
+    "merge_one": _sql(TUMBLING, 'SELECT o AS merged_offset, k AS "key", v AS "value", e AS event_time_ms, wm AS wm_ms FROM cut LEFT JOIN wm ON j = (o - 1) // 10'),
+    "output_watermark": _sql(TUMBLING, f"SELECT j * 10 AS cut_offset, wm AS wm_ms FROM wm WHERE j * 10 % {BARRIER} = 0"),
     "restore_equivalence": _sql(TUMBLING_LATE, _result("acc", TUMBLING_LATE.size)),
     "recovery_union": _sql(TUMBLING_LATE, f"""SELECT k AS "key", s AS window_start_ms, s + {TUMBLING_LATE.size} AS window_end_ms, arg_max(total, n) AS "sum", max(n) AS "count", count(*) - 1 AS duplicates
 FROM (SELECT * FROM log WHERE sl >= 0 AND sl <= {CRASH // 10} UNION ALL SELECT * FROM log WHERE sl < 0 OR sl > {SNAPSHOT // 10}) GROUP BY k, s"""),

@@ -24,8 +24,17 @@ class GeneratorConfig:
     seed: int = 42
 
 
+# The Mersenne prime 2**31 - 1 and multipliers that generate the residues modulo it.
+PRIME = 2_147_483_647
+MULTIPLIERS = (48_271, 69_621, 16_807, 39_373)
+
+
 def _draw(seed: int, what: int, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col("offset")), F.lit(n))
+    """A number below n from (seed, what, offset): plain arithmetic modulo a prime, so that any engine can repeat it."""
+    a, b, c, d = MULTIPLIERS
+    x = ((F.col("offset") % PRIME) * a + (seed % PRIME) * b + what * c) % PRIME
+    y = (x * x + what) % PRIME
+    return ((y * d + x) % PRIME * y % PRIME) % n
 
 
 def generate(spark: SparkSession, config: GeneratorConfig, start: int = 0) -> DataFrame:
@@ -43,3 +52,25 @@ def generate(spark: SparkSession, config: GeneratorConfig, start: int = 0) -> Da
         F.greatest(F.lit(0), base + pushed).cast("long").alias("event_time_ms"),
         base.cast("long").alias("processing_time_ms"),
     )
+
+
+def record(config: GeneratorConfig, offset: int) -> tuple[int, str, int, int, int]:
+    """What ``generate`` gives for one offset, in Python."""
+    c = config
+    base = (offset - 1) * c.step
+
+    def draw(what: int, n: int) -> int:
+        m = MULTIPLIERS
+        x = ((offset % PRIME) * m[0] + (c.seed % PRIME) * m[1] + what * m[2]) % PRIME
+        y = (x * x + what) % PRIME
+        return ((y * m[3] + x) % PRIME * y % PRIME) % n
+
+    late = draw(2, 1_000_000) < int(c.late_fraction * 1_000_000)
+    moved = -(c.disorder + 1 + draw(3, max(1, c.tail))) if late else -draw(1, c.disorder + 1)
+    return offset, f"key-{(offset - 1) % c.keys:04d}", draw(4, 1000) + 1, max(0, base + moved), base
+
+
+def live_panes(spark: SparkSession, records: int, keys: int, interval: int, size: int = 1 << 40) -> tuple[DataFrame, DataFrame]:
+    """Records (offset, key, value, e) of ``keys`` keys in one window that never ends, and a watermark (j, wm) that rises every ``interval``."""
+    rows = spark.range(1, records + 1).select(F.col("id").alias("offset"), F.format_string("key-%08d", F.col("id") % keys).alias("key"), F.lit(1).cast("long").alias("value"), F.pmod("id", F.lit(size)).alias("e"))
+    return rows, spark.range(1, records // interval + 1).select(F.col("id").alias("j"), F.col("id").alias("wm"))

@@ -12,12 +12,12 @@ can't decide record by record. Two forms are offered:
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -58,82 +58,98 @@ def annotated(stream: DataFrame, wms: DataFrame, config: StreamConfig, partition
 
 
 class ExactLateness(StatefulProcessor):
-    """Windows of one partition: panes by (window, key), and which windows have fired or wait to fire again."""
+    """Windows of one partition: panes, and which windows have fired or wait to fire again.
+
+    State is read and written where a batch touches it: ``live`` has a row for each live window (few, whatever the number
+    of keys), ``keys`` numbers a window's keys as they come, and ``panes`` holds them by number, so a window that fires
+    reads its own panes alone. Records between two watermarks are summed before state is touched.
+    """
 
     def __init__(self, size: int, step: int, lateness: int) -> None:
         self.size, self.step, self.lateness = size, step, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.panes = handle.getMapState("panes", "s long, key string", "sum long, count long")
-        self.marks = handle.getMapState("marks", "s long", "fired boolean, again boolean")
+        self.live = handle.getMapState("live", "s long", "fired boolean, again boolean, keys int")
+        self.keys = handle.getMapState("keys", "s long, key string", "i int")
+        self.panes = handle.getMapState("panes", "s long, i int", "key string, sum long, count long")
         self.now = handle.getValueState("now", "wm long")
 
-    def _starts(self, e: int) -> Iterator[int]:
-        first = max(0, ((e - self.size) // self.step + 1) * self.step)
-        yield from range(first, e // self.step * self.step + 1, self.step)
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values("offset", kind="stable")
         wm = self.now.get()[0] if self.now.exists() else None
-        panes = {tuple(k): list(v) for k, v in self.panes.iterator()}
-        marks = {k[0]: list(v) for k, v in self.marks.iterator()}
-        old_panes, old_marks = set(panes), set(marks)
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.key is None or row.key != row.key:
-                if wm is None or row.wm > wm:
-                    wm = int(row.wm)
-                    self._advance(int(key[0]), wm, panes, marks, out)
-                continue
-            for s in self._starts(int(row.e)):
-                if wm is not None and wm >= s + self.size + self.lateness:
-                    continue
-                pane = panes.setdefault((s, row.key), [0, 0])
-                pane[0] += int(row.value)
-                pane[1] += 1
-                mark = marks.setdefault(s, [False, False])
-                mark[1] = mark[0]
-        for k in old_panes - set(panes):
-            self.panes.removeKey(k)
-        for k in old_marks - set(marks):
-            self.marks.removeKey((k,))
-        for k, v in panes.items():
-            self.panes.updateValue(k, tuple(v))
-        for k, v in marks.items():
-            self.marks.updateValue((k,), tuple(v))
+        live = {k[0]: list(v) for k, v in self.live.iterator()}
+        before = set(live)
+        out: list[tuple] = []
+        control = batch["key"].isna().to_numpy()
+        begin = 0
+        for at in [*np.flatnonzero(control), len(batch)]:
+            if at > begin:
+                self._add(batch.iloc[begin:at], wm, live)
+            if at < len(batch):
+                new = int(batch["wm"].iloc[at])
+                if wm is None or new > wm:
+                    wm = new
+                    self._advance(int(key[0]), wm, live, out)
+            begin = at + 1
+        for s in before - set(live):
+            self.live.removeKey((s,))
+        for s, mark in live.items():
+            self.live.updateValue((s,), tuple(mark))
         if wm is not None:
             self.now.update((wm,))
-        names = [x.split()[0] for x in EMISSION.split(", ")]
-        yield pd.DataFrame(out, columns=names)
-
-    def _advance(self, p: int, wm: int, panes: dict, marks: dict, out: list) -> None:
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in EMISSION.split(", ")])
+
+    def _add(self, records: pd.DataFrame, wm: int | None, live: dict) -> None:
+        """Sum the records under one watermark by window and key, and add the sums to the panes of windows that are not over."""
+        e = records["e"].to_numpy(np.int64)
+        last = e // self.step * self.step
+        sums = []
+        for back in range(-(-self.size // self.step)):
+            s = last - back * self.step
+            inside = (s >= 0) & (s + self.size > e)
+            if wm is not None:
+                inside &= s + self.size + self.lateness > wm
+            own = pd.DataFrame({"s": s[inside], "key": records["key"].to_numpy()[inside], "value": records["value"].to_numpy(np.int64)[inside]})
+            sums.append(own)
+        added = pd.concat(sums).groupby(["s", "key"])["value"].agg(["sum", "count"])
+        for (s, key), total, count in zip(added.index, added["sum"].tolist(), added["count"].tolist(), strict=True):
+            s = int(s)
+            mark = live.setdefault(s, [False, False, 0])
+            mark[1] = mark[0]
+            if self.keys.containsKey((s, key)):
+                i = self.keys.getValue((s, key))[0]
+                _, a, b = self.panes.getValue((s, i))
+                total, count = total + a, count + b
+            else:
+                i = mark[2]
+                mark[2] += 1
+                self.keys.updateValue((s, key), (i,))
+            self.panes.updateValue((s, i), (key, total, count))
+
+    def _advance(self, p: int, wm: int, live: dict, out: list) -> None:
         """First fires in order of window ends, then re-fires, then collection."""
-        first = [s for s in sorted(marks) if not marks[s][0] and s + self.size <= wm]
-        again = [s for s in sorted(marks) if marks[s][1]]
+        first = [s for s in sorted(live) if not live[s][0] and s + self.size <= wm]
+        again = [s for s in sorted(live) if live[s][1]]
         for kind, windows in (("fire", first), ("refire", again)):
             for s in windows:
-                marks[s] = [True, False]
-                out += [(p, wm, kind, k, s, s + self.size, v[0], v[1]) for (w, k), v in sorted(panes.items()) if w == s]
-        for s in [s for s in marks if marks[s][0] and (wm >= s + self.size + self.lateness)]:
-            del marks[s]
-            for k in [k for k in panes if k[0] == s]:
-                del panes[k]
+                live[s][:2] = [True, False]
+                panes = sorted(self.panes.getValue((s, i)) for i in range(live[s][2]))
+                out += [(p, wm, kind, k, s, s + self.size, total, count) for k, total, count in panes]
+        for s in [s for s in live if live[s][0] and wm >= s + self.size + self.lateness]:
+            for i in range(live.pop(s)[2]):
+                self.keys.removeKey((s, self.panes.getValue((s, i))[0]))
+                self.panes.removeKey((s, i))
 
     def close(self) -> None:
         pass
 
 
+def state_rows(spark: SparkSession, checkpoint: str, name: str = "panes") -> DataFrame:
+    """The real state of a stopped or running ``exact_windows`` query, by Spark's state reader: live, keys, panes or now."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+
+
 def exact_windows(rows: DataFrame, config: StreamConfig) -> DataFrame:
     """The changelog of a streaming frame of ``annotated`` rows. Needs the RocksDB state store."""
     processor = ExactLateness(config.size, config.step, config.lateness)
     return rows.groupBy("p").transformWithStateInPandas(processor, outputStructType=EMISSION, outputMode="Append", timeMode="None")
-
-
-def durable_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each batch's results in a folder of its own, written over if the batch runs again."""
-    return lambda batch, number: batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
-
-
-def console_line(row: Any) -> str:
-    """A result as text."""
-    return f"window=[{row.window_start_ms}, {row.window_end_ms}) key={row.key} sum={row['sum']} count={row['count']}"
