@@ -1,25 +1,27 @@
-"""Removal of repeated byte strings by a family of suffix arrays.
+"""Removal of repeated byte strings by a logarithmic family of suffix arrays.
 
 A byte goes if it lies in a string of ``length`` bytes that starts anywhere else as well, in the same document or another.
 
 1. Every window of ``length`` bytes names an anchor in it: the place of the least hash among its runs of ``gram`` bytes.
-   Equal windows name equal anchors, so a window can only be repeated where its anchor's hash is. Anchors are a row for
-   each 70 bytes or so; hashes that occur once are dropped by counting them.
-2. What is left are snippets: an anchor with the bytes of all windows that name it. Equal snippets are counted where
-   they are cut out; a snippet that occurs twice is repeated as a whole.
-3. Snippets are dealt by their anchor's hash. In each part an index takes them in batches. A batch gets its suffix array
-   (the snippets' suffixes at the anchor, in order, with their common prefixes) and another one of the reversed bytes
-   before the anchor. Batches enter a logarithmic family of levels: a level of equal size is merge-scanned with the
-   newcomer and both become one level of the next size, and at the end the levels that are left are merge-scanned into
-   one. So each pair of snippets meets in exactly one merge, and a snippet takes part in a logarithmic number of them.
-   A scan tells, for each place of a window's start, which snippets share enough bytes before and after the anchor.
-4. Anchors with more than ``most_snippets`` different snippets don't go to one part: their windows are counted one by
-   one, by a digest, with partial sums before the shuffle.
+   Equal windows name equal anchors, so a window can only be repeated where its anchor's hash is. Suffixes are indexed at
+   anchors alone, one for each 70 bytes or so. Where a window has its least hash twice (periodic text), no place is the
+   anchor: such windows are told by their own digests instead, counted inside their document first.
+2. A batch of documents becomes a run: its suffixes in the order of their heads' hashes, a table in the shared folder. It
+   is merge-scanned against itself and against each level that exists, which tells the heads they share; runs of equal
+   size then merge into one of twice the size, so there are logarithmically many levels and a suffix is written
+   logarithmically often. A later batch meets all earlier ones (``SuffixIndex``).
+3. What shares its head is cut out as snippets: an anchor with the bytes of all windows that name it. Equal snippets are
+   counted where they are cut out; a snippet that occurs twice is repeated as a whole. Different ones are dealt by their
+   head, sorted, and taken some thousands at a time, heads kept whole: their suffix arrays (after the anchor, and reversed
+   before it) with the common prefixes of neighbours tell which of them share a window, and where.
+4. Heads with more than ``most_snippets`` different snippets are split further, down to their windows: those are counted
+   one by one, by a digest, with partial sums before the shuffle. So a task holds a batch and one head's snippets at most.
 5. A snippet's repeated windows always overlap, so each gives one span; spans go back to all places where the snippet
    stands, and each document is cut once.
 
 Null texts are empty; texts shorter than ``length`` have nothing to remove. Repeated rows and copies of ``length`` bytes
-or more are removed in full, each of them. Offsets are bytes of UTF-8.
+or more are removed in full, each of them. Very long and periodic texts take time in proportion to their length. An empty
+table gives no rows; columns but doc_id and text are ignored. Offsets are bytes of UTF-8.
 """
 
 from __future__ import annotations
@@ -39,50 +41,96 @@ _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23  # bytes of a text that are looked at at once
 
 
+def _least(keys: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` keys in a row."""
+    width = 1
+    while 2 * width <= span:
+        keys = np.minimum(keys[:-width], keys[width:])
+        width *= 2
+    return np.minimum(keys[: len(keys) - (span - width)], keys[span - width :]) if width < span else keys
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """row, hash, first window, last window, anchor of all anchors in a block of texts; offsets within the block."""
+    """row, hash, first window, last window, anchor of all anchors in a block of texts, and the starts of windows without one."""
     span, n = length - gram + 1, len(data)
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(6))
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return nothing
     at = np.arange(n - gram + 1)
     hashes = span_hash(prefix_hash(BYTE_VALUES[data]), at, at + gram) >> np.uint64(1)
-    least = (hashes >> np.uint64(23) << np.uint64(24)) | at.astype(np.uint64)
-    width = 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    high, at = hashes >> np.uint64(23) << np.uint64(24), at.astype(np.uint64)
+    least = _least(high | at, span)
+    # The least hash read from the right: another place means that the window has it twice.
+    last = _PLACE - (_least(high | (_PLACE - at), span) & _PLACE)
     inside = np.zeros(n + 1, np.int32)
     ends = offsets[1:] - length + 1
     some = ends > offsets[:-1]
     np.add.at(inside, offsets[:-1][some], 1)
     np.add.at(inside, ends[some], -1)
     starts = np.flatnonzero(np.cumsum(inside[: len(least)]) > 0)
+    twice = (least[starts] & _PLACE) != last[starts]
+    tied, starts = starts[twice], starts[~twice]
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return (*nothing[:5], tied)
     place = (least[starts] & _PLACE).astype(np.int64)
     new = np.ones(len(starts), bool)
-    new[1:] = place[1:] != place[:-1]
+    new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
+    end = np.append(first[1:], len(starts)) - 1
     row = np.searchsorted(offsets, starts[first], side="right") - 1
-    return row, hashes[place[first]].view(np.int64), starts[first], starts[last], place[first]
+    return row, hashes[place[first]].view(np.int64), starts[first], starts[end], place[first], tied
+
+
+#: Rows of three kinds: an anchor (h, x0, x1, p), a window without one (w, x0, and n of it in its document), and a span
+#: (x0 to x1) of windows that their own document repeats.
+_MARK = "k long, th long, h long, x0 long, x1 long, p long, w binary, n long"
+_MARK_NAMES = [x.split()[0] for x in _MARK.split(", ")]
 
 
 def _find_anchors(length: int, gram: int):
+    def tied_rows(k: int, th: int, text: bytes, starts: list[int]) -> Iterator[tuple]:
+        """Windows without an anchor of one document."""
+        where: dict[bytes, list[int]] = {}
+        for x in starts:
+            seen = where.setdefault(xxhash.xxh3_128_digest(text[x : x + length]), [])
+            seen.append(x)
+        for w, seen in where.items():
+            yield k, th, None, seen[0], None, None, w, len(seen)
+        again = sorted(x for seen in where.values() if len(seen) > 1 for x in seen)
+        a = b = None
+        for x in again:
+            if b is not None and x <= b:
+                b = x + length
+                continue
+            if b is not None:
+                yield k, th, None, a, b, None, None, None
+            a, b = x, x + length
+        if b is not None:
+            yield k, th, None, a, b, None, None, None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
         for batch in batches:
             data, at = utf8(batch.column("text"))
             k, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "th"))
             for i, j in row_blocks(at):
+                tied: dict[int, list[np.ndarray]] = {}
                 for start in range(int(at[i]), max(int(at[i]) + 1, int(at[j])), _SEGMENT):
                     # A longer text is looked at piece by piece; windows start in one piece only.
                     stop = min(int(at[j]), start + _SEGMENT + length - 1)
                     own = np.clip(at[i : j + 1], start, stop) - start
-                    row, h, x0, x1, p = anchors(data[start:stop], own, length, gram)
+                    row, h, x0, x1, p, loose = anchors(data[start:stop], own, length, gram)
                     base = at[i + row] - start
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i + row], th[i + row], h, x0 - base, x1 - base, p - base)], names=["k", "th", "h", "x0", "x1", "p"])
+                    found = [pa.array(x) for x in (k[i + row], th[i + row], h, x0 - base, x1 - base, p - base)]
+                    yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(len(row), t) for t in types[6:])], names=_MARK_NAMES)
+                    of = np.searchsorted(own, loose, side="right") - 1
+                    for r in np.unique(of).tolist():
+                        tied.setdefault(i + r, []).append(loose[of == r] + start - at[i + r])
+                for r, parts in tied.items():
+                    rows = list(tied_rows(int(k[r]), int(th[r]), data[at[r] : at[r + 1]].tobytes(), np.concatenate(parts).tolist()))
+                    for a in range(0, len(rows), 50_000):
+                        columns = zip(*rows[a : a + 50_000], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_MARK_NAMES)
 
     return run
 
@@ -167,9 +215,6 @@ class Run:
             out[i : i + 4096] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
         return out
 
-    def merge(self, other: Run) -> Run:
-        return Run(*(np.concatenate([getattr(self, x), getattr(other, x)]) for x in ("member", "after", "before", "lead", "behind")))
-
     def scan(self, hits: np.ndarray, length: int) -> None:
         """Mark in hits[member, offset] the windows, offset bytes before their anchor, that two members share."""
         shared = self._shared(self.after)
@@ -193,72 +238,38 @@ class Run:
             hits[self.member[own[ranked[twice]]], o] = True
 
 
-class Levels:
-    """The logarithmic family: at most one run of each size batch * 2**i."""
-
-    def __init__(self, length: int, gram: int, batch: int) -> None:
-        self.length, self.gram, self.batch = length, gram, batch
-        self.runs: list[Run | None] = []
-        self.hits = np.zeros((0, length - gram + 1), bool)
-
-    def add(self, snippets: list[bytes], lead: np.ndarray) -> None:
-        first = len(self.hits)
-        self.hits = np.concatenate([self.hits, np.zeros((len(snippets), self.hits.shape[1]), bool)])
-        run = Run.of(np.arange(first, len(self.hits)), snippets, lead, self.length, self.gram)
-        run.scan(self.hits, self.length)
-        for i in range(len(self.runs)):
-            if self.runs[i] is None:
-                self.runs[i] = run
-                return
-            run = self.runs[i].merge(run)
-            self.runs[i] = None
-            run.scan(self.hits, self.length)
-        self.runs.append(run)
-
-    def close(self) -> np.ndarray:
-        left = [r for r in self.runs if r is not None]
-        while len(left) > 1:
-            run = left.pop(0).merge(left.pop(0))
-            run.scan(self.hits, self.length)
-            left.insert(0, run)
-        return self.hits
-
-
 _SPAN = "s1 long, s2 long, a int, b int"
 
 
 def _index(length: int, gram: int, batch_rows: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(length, gram, batch_rows)
-        number: dict[tuple[int, int], int] = {}
-        counts: list[int] = []
-        leads: list[int] = []
-        sizes: list[int] = []
-        fresh: list[bytes] = []
-        for batch in batches:
-            for s1, s2, lead, n, snippet in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "lead", "n", "snippet")), strict=True):
-                at = number.setdefault((s1, s2), len(counts))
-                if at < len(counts):
-                    counts[at] += n
-                    continue
-                counts.append(n)
-                leads.append(lead)
-                sizes.append(len(snippet))
-                fresh.append(snippet)
-                if len(fresh) == batch_rows:
-                    levels.add(fresh, np.array(leads[-len(fresh) :]))
-                    fresh = []
-        if fresh:
-            levels.add(fresh, np.array(leads[-len(fresh) :]))
-        if not counts:
-            return
-        hits, lead, size, n = levels.close(), np.array(leads), np.array(sizes), np.array(counts)
-        some = hits.any(1)
+    def repeated(rows: dict[tuple[int, int], list]) -> pa.RecordBatch:
+        """The spans of a batch of different snippets (lead, n, bytes) that hold all of their heads'."""
+        lead, n = (np.array([r[x] for r in rows.values()]) for x in (0, 1))
+        snippets = [r[2] for r in rows.values()]
+        hits = np.zeros((len(rows), length - gram + 1), bool)
+        Run.of(np.arange(len(rows)), snippets, lead, length, gram).scan(hits, length)
+        size = np.array([len(x) for x in snippets])
         a = np.where(n > 1, 0, lead - (hits.shape[1] - 1 - hits[:, ::-1].argmax(1)))
         b = np.where(n > 1, size, lead - hits.argmax(1) + length)
-        keep = np.flatnonzero(some | (n > 1))
-        keys = np.array(list(number), np.int64).reshape(-1, 2)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32))], names=["s1", "s2", "a", "b"])
+        keep = np.flatnonzero(hits.any(1) | (n > 1))
+        keys = np.array(list(rows), np.int64).reshape(-1, 2)[keep]
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32))], names=["s1", "s2", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, int], list] = {}
+        head = None
+        for batch in batches:
+            for h, s1, s2, lead, n, snippet in zip(*(batch.column(c).to_pylist() for c in ("h", "s1", "s2", "lead", "n", "snippet")), strict=True):
+                if h != head and len(rows) >= batch_rows:
+                    yield repeated(rows)
+                    rows = {}
+                head = h
+                if (s1, s2) in rows:
+                    rows[s1, s2][1] += n
+                else:
+                    rows[s1, s2] = [lead, n, snippet]
+        if rows:
+            yield repeated(rows)
 
     return run
 
@@ -288,45 +299,105 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batch_rows: int = 8192, most_snippets: int = 100_000) -> DataFrame:
-    """k, th, spans: byte spans (a, b) to remove of each document that has some, by its ``row_key``; spans may overlap."""
-    spark = documents.sparkSession
+class SuffixIndex:
+    """The family of runs over the batches appended so far, as tables in the shared folder.
+
+    texts: a frame (k, th, text) in which the texts of all appended documents are found; the index keeps places, not texts.
+    """
+
+    def __init__(self, texts: DataFrame, length: int = 200, gram: int = 64, batch_rows: int = 8192, most_snippets: int = 2048) -> None:
+        self.texts, self.length, self.gram, self.batch_rows, self.most_snippets = texts, length, gram, batch_rows, most_snippets
+        self.levels: list[DataFrame | None] = []  # level i holds 2**i batches
+
+    def append(self, documents: DataFrame) -> DataFrame:
+        """Add a batch (k, th, text); k, th, a, b: what it makes repeated, in its own documents and in earlier ones. Spans may overlap."""
+        run = materialise(in_arrow(documents, _find_anchors(self.length, self.gram), _MARK).sortWithinPartitions("h"), "run")
+        levels = [x for x in self.levels if x is not None]
+        places = run
+        for level in levels:
+            places = places.union(level)
+        heads = run.where("h is not null").groupBy("h").agg(F.count("*").alias("c"))
+        windows = run.where("w is not null").groupBy("w").agg(F.sum("n").alias("c"))
+        for level in levels:  # the merge scan: what the run and a level have in common
+            heads = heads.join(level.where("h is not null").groupBy("h").agg(F.count("*").alias("d")), "h", "left")
+            heads = heads.select("h", (F.col("c") + F.coalesce("d", F.lit(0))).alias("c"))
+            windows = windows.join(level.where("w is not null").groupBy("w").agg(F.sum("n").alias("d")), "w", "left")
+            windows = windows.select("w", (F.col("c") + F.coalesce("d", F.lit(0))).alias("c"))
+        # Written first: a join of two exchanges can be split where one hash has very many places.
+        heads = materialise(heads.where("c > 1").select("h"), "heads")
+        loose = places.where("w is not null and n = 1").join(windows.where("c > 1"), "w", "left_semi").select("k", "th", F.col("x0").alias("a"), (F.col("x0") + self.length).alias("b"))
+        own = run.where("h is null and w is null").select("k", "th", F.col("x0").alias("a"), F.col("x1").alias("b"))
+        loose = materialise(loose.union(own), "loose")
+        found = places.where("h is not null").join(heads, "h").groupBy("k", "th").agg(F.collect_set(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
+        found = materialise(found, "found")
+        discard(heads)
+        self._enter(run)
+        del run, levels, places, heads
+        release(documents.sparkSession)
+        spans = self._snippet_spans(found)
+        out = materialise(spans.union(loose), "placed")
+        discard(found, loose, *self._scrap)
+        release(documents.sparkSession)
+        return out
+
+    def _enter(self, run: DataFrame) -> None:
+        """Make the run a level; levels of equal size merge into one of twice the size."""
+        for i in range(len(self.levels)):
+            old, self.levels[i] = self.levels[i], None
+            if old is None:
+                self.levels[i] = run
+                return
+            merged = materialise(run.union(old).repartition("h").sortWithinPartitions("h"), "run")
+            discard(run, old)
+            run = merged
+        self.levels.append(run)
+
+    def _snippet_spans(self, found: DataFrame) -> DataFrame:
+        """k, th, a, b from the anchors (found: h, x0, x1, p) of each document that share their heads with others."""
+        length = self.length
+        cut = materialise(in_arrow(self.texts.join(found, ["k", "th"]).select("k", "th", "text", "found"), _cut(length), _SNIPPET), "snippets")
+        snippets = cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet")
+        hot = materialise(snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > self.most_snippets).select("h"), "hot")
+        dealt = snippets.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+        spans = in_arrow(dealt, _index(length, self.gram, self.batch_rows), _SPAN)
+        if not hot.isEmpty():
+            own = snippets.join(hot, "h", "left_semi").groupBy("s1", "s2").agg(F.first("snippet").alias("snippet"), F.sum("n").alias("n"))
+            windows = own.select("s1", "s2", "n", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - length)).alias("x"), "snippet")
+            windows = windows.select("s1", "s2", "n", "x", F.md5(F.expr(f"substring(snippet, x + 1, {length})")).alias("w"))
+            again = windows.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
+            more = windows.join(again, "w", "left_semi").groupBy("s1", "s2").agg(F.min("x").alias("a"), (F.max("x") + length).alias("b"))
+            spans = spans.union(more.select("s1", "s2", F.col("a").cast("int"), F.col("b").cast("int")))
+        spans = materialise(spans, "spans")
+        self._scrap = [cut, spans, hot]
+        places = cut.where("snippet is null").select("k", "th", "x0", "s1", "s2").join(spans, ["s1", "s2"])
+        return places.select("k", "th", (F.col("x0") + F.col("a")).alias("a"), (F.col("x0") + F.col("b")).alias("b"))
+
+    def close(self) -> None:
+        """Delete the levels."""
+        discard(*(x for x in self.levels if x is not None))
+        self.levels = []
+
+
+def repeated_spans(documents: DataFrame, length: int = 200, gram: int = 64, batches: int = 2, **limits: int) -> DataFrame:
+    """k, th, spans: byte spans (a, b) to remove of each document that has some, by its ``row_key``; spans may overlap.
+
+    batches: the documents are appended in so many batches, by a hash. Equal rows are of one batch.
+    """
     docs = documents.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    marks = materialise(in_arrow(docs, _find_anchors(length, gram), "k long, th long, h long, x0 long, x1 long, p long"), "anchors")
-    # Written first: a join of two exchanges can be split where one hash has very many places.
-    twice = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
-    found = marks.join(twice, "h").groupBy("k", "th").agg(F.collect_list(F.struct("h", "x0", "x1", "p")).alias("found"))  # of one document
-    # Rows that are equal in id and text were found together; each of them keeps its own places once.
-    found = materialise(found.withColumn("found", F.array_distinct("found")), "found")
-    discard(marks, twice)
-    del marks, twice
-    release(spark)
-    cut = materialise(in_arrow(docs.join(found, ["k", "th"]).select("k", "th", "text", "found"), _cut(length), _SNIPPET), "snippets")
-    discard(found)
-    del docs, found
-    release(spark)
-
-    snippets = cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet")
-    hot = snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > most_snippets).select("h")
-    hot = materialise(hot, "hot")
-    spans = in_arrow(snippets.join(hot, "h", "left_anti").repartition("h"), _index(length, gram, batch_rows), _SPAN)
-    if not hot.isEmpty():
-        own = snippets.join(hot, "h", "left_semi").groupBy("s1", "s2").agg(F.first("snippet").alias("snippet"), F.sum("n").alias("n"))
-        windows = own.select("s1", "s2", "n", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - length)).alias("x"), "snippet")
-        windows = windows.select("s1", "s2", "n", "x", F.md5(F.expr(f"substring(snippet, x + 1, {length})")).alias("w"))
-        again = windows.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
-        more = windows.join(again, "w", "left_semi").groupBy("s1", "s2").agg(F.min("x").alias("a"), (F.max("x") + length).alias("b"))
-        spans = spans.union(more.select("s1", "s2", F.col("a").cast("int"), F.col("b").cast("int")))
-    spans = materialise(spans, "spans")
-    places = cut.where("snippet is null").select("k", "th", "x0", "s1", "s2").join(spans, ["s1", "s2"])
-    placed = places.select("k", "th", F.struct((F.col("x0") + F.col("a")).alias("a"), (F.col("x0") + F.col("b")).alias("b")).alias("span"))
-    out = materialise(placed.groupBy("k", "th").agg(F.collect_list("span").alias("spans")), "placed")  # of one document
-    discard(cut, spans, hot)
+    index = SuffixIndex(docs, length, gram, **limits)
+    batch = F.pmod(F.xxhash64("k", "th"), F.lit(batches))
+    found = [index.append(docs.where(batch == i)) for i in range(batches)]
+    index.close()
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    out = materialise(spans.groupBy("k", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")  # of one document
+    discard(*found)
     return out
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, gram: int = 64, **limits: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of (doc_id, text). See ``repeated_spans`` for limits."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of (doc_id, text). See ``repeated_spans`` and ``SuffixIndex`` for limits."""
     spans = repeated_spans(documents, length, gram, **limits)
     release(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *row_key(), "text")
