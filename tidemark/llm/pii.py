@@ -11,8 +11,8 @@ refute (octets over 255, failed check digits, wrong lengths) are negative, and t
 Forms without a mark have no check, so confirmed spans are made into them: telephone numbers without their plus sign,
 country code and context, mails with (at). A number without plus sign is negative if its groups are those of no telephone
 number or it meets a base span of another kind, and else trains nothing. Refuted proposals are never added, and the
-thresholds' precision is that of forms which no base span meets. All documents' proposals count: they are summed by feature vector, at most
-``most_cells`` of them as every feature has few values, and the trees are fitted to these sums on the driver. Thresholds
+thresholds' precision is that of forms which no base span meets. All documents' proposals count: they are summed by
+feature vector, of which there are few as every feature has few values, and the trees are fitted to these sums on the driver. Thresholds
 are the lowest at which proposals of the fold kept out reach the wanted precision; a kind that never does adds nothing.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows give equal results.
@@ -22,8 +22,9 @@ Patterns use possessive repeats, so long texts take linear time and no stack.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,21 +79,71 @@ def checked(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<start:int,end:int,text:string>>"
+_SPANS = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
+_CHUNK = 64
 
 
-def matches(text: Column, pattern: str, needs: Column) -> Column:
-    """start, end (code points) and text of all matches, left to right; ``needs``: whether there can be any."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def matches(text: Column, pattern: str, needs: Column, context: bool = False) -> Column:
+    """start, end (code points) and text of all matches, left to right; ``needs``: whether there can be any.
+
+    context: with up to 20 characters before a match (and after the one before that) and the one after it. Starts are
+    sums over the gaps: of chunks first, then inside each, so that a text's many matches take time in proportion.
+    """
+    nothing = F.array().cast(_SPANS)
+    size = lambda p: p["gap"] + F.length(p["text"])
+
+    def pieces(found: Column, gaps: Column) -> Column:
+        def of(m: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            before = F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), gap), F.lit(20)) if context else F.lit("")
+            after = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(1)) if context else F.lit("")
+            return F.struct(F.length(gap).alias("gap"), m.alias("text"), before.alias("before"), after.alias("after"))
+
+        return F.transform(found, of)
+
+    def chunk(all_: Column, c: Column) -> Column:
+        return F.slice(all_, c * _CHUNK + 1, F.lit(_CHUNK))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         end = start + F.length(x["text"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("out"))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["before"].alias("before"), x["after"].alias("after")))).alias("out"))
+
+    def placed(all_: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _CHUNK).cast("int"))
+        totals = F.transform(chunks, lambda c: F.aggregate(chunk(all_, c), F.lit(0), lambda s, p: s + size(p)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(totals, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        inside = lambda at, c: F.aggregate(chunk(all_, c), F.struct(at.alias("at"), nothing.alias("out")), step, lambda s: s["out"])
+        return F.when(F.size(all_) == 0, nothing).otherwise(F.flatten(F.transform(starts, inside)))
 
-    return F.when(needs, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast(_SPANS))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    spans = _bound(both, lambda x: _bound(x["found"], lambda found: _bound(x["gaps"], lambda gaps: _bound(pieces(found, gaps), placed))))
+    return F.when(needs, spans).otherwise(nothing)
+
+
+def _first_after(spans: Column, start: Column) -> Column:
+    """The index of the first of disjoint spans in order that ends after ``start``, by halving."""
+    zero = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        left = F.get(spans, mid)["end"] > start
+        going = s["lo"] < s["hi"]
+        return F.struct(F.when(going & ~left, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(going & left, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(spans)))), zero, halve, lambda s: s["lo"])
+
+
+def _near(spans: Column, m: Column, test: Callable[[Column], Column]) -> Column:
+    """Whether ``test`` holds for the first span that ends after a match begins, or for the next one."""
+    ok = lambda b: F.coalesce(test(b), F.lit(False))
+    return _bound(_first_after(spans, m["start"]), lambda i: ok(F.get(spans, i)) | ok(F.get(spans, i + 1)))
 
 
 def _checker(kind: str):
@@ -107,7 +158,7 @@ def _base(text: Column) -> dict[str, Column]:
             needs = needs & text.rlike(r"[0-9]")
         if kind == "card":
             needs = text.rlike(r"[0-9](?:[ -]?+[0-9]){13}")
-        out[kind] = F.filter(matches(text, pattern, needs), _checker(kind))
+        out[kind] = F.filter(matches(text, pattern, needs, context=kind in ("email", "phone")), _checker(kind))
     return out
 
 
@@ -134,11 +185,11 @@ def possible(kind: str, text: Column) -> Column:
     return checked(kind, text)
 
 
-def _features(kind: str, m: Column, text: Column) -> Column:
+def _features(kind: str, m: Column) -> Column:
     marked = m["text"].rlike(_MARKED if kind == "email" else r"[()\[\]]")
-    m = F.struct(m["start"].alias("start"), m["end"].alias("end"), normal(kind, m["text"]).alias("text"))
+    before, after = m["before"], m["after"]
+    m = F.struct(normal(kind, m["text"]).alias("text"))
     digits = F.length(_digits(m["text"]))
-    before = F.substr(text, F.greatest(m["start"] - 19, F.lit(1)), F.least(m["start"], F.lit(20)))
     groups = F.size(F.split(F.regexp_replace(m["text"], "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""), "[^0-9A-Za-z]+", -1))
     first = F.substr(_digits(m["text"]), F.lit(1), F.lit(1))
     separators = F.length(F.regexp_replace(m["text"], r"^\+ ?|[0-9A-Za-z]", ""))
@@ -153,14 +204,14 @@ def _features(kind: str, m: Column, text: Column) -> Column:
         F.least(separators, F.lit(3)).alias("separators"),
         flag(before.rlike(_CONTEXT[kind])).alias("context"),
         flag(before.rlike(r"[\p{L}\p{N}_]$")).alias("word_before"),
-        flag(F.substr(text, m["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")).alias("word_after"),
+        flag(after.rlike(r"[\p{L}\p{N}_]")).alias("word_after"),
     )
 
 
 def find_candidates(documents: DataFrame) -> DataFrame:
     """doc_id, fold, base (array of kind, start, end), proposed and made.
 
-    proposed: kind, start, end, y (confirmed 1, refuted 0, null if neither), met (by a base span of its kind), may (be added), f
+    proposed: kind, start, end, y (confirmed 1, refuted 0, null if neither), met (by a base span of its kind), may (be added: not refuted, no base span there), f
     (features). made: kind and f of confirmed spans in forms without a mark.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -174,19 +225,26 @@ def find_candidates(documents: DataFrame) -> DataFrame:
     def described(number: int, kind: str):
         def of(m: Column) -> Column:
             meets = lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"]) | (b["start"] >= m["start"]) & (b["end"] <= m["end"])
-            met, may = F.exists(F.col(f"b_{kind}"), meets), possible(kind, m["text"])
-            truth = F.when(met, 1).when(may, 1).otherwise(0)
-            if kind == "phone":
-                over = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
-                other = F.exists(F.concat(*(F.col(f"b_{k}") for k in KINDS)), over)
-                truth = F.when(met, 1).when(other | ~may | ~m["text"].rlike(_PHONE), 0)
-            f = _features(kind, m, F.col("text")).alias("f")
-            return F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth.alias("y"), met.alias("met"), may.alias("may"), f)
+            over = lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])
+            met, may, taken = _near(F.col(f"b_{kind}"), m, meets), possible(kind, m["text"]), F.lit(False)
+            for k in KINDS:
+                taken = taken | _near(F.col(f"b_{k}"), m, over)
+            f = _features(kind, m).alias("f")
+            told = F.struct(met.alias("met"), may.alias("may"), taken.alias("taken"))
+
+            def judged(t: Column) -> Column:
+                truth = F.when(t["met"], 1).when(t["may"], 1).otherwise(0)
+                if kind == "phone":
+                    truth = F.when(t["met"], 1).when(t["taken"] | ~t["may"] | ~m["text"].rlike(_PHONE), 0)
+                may_be = t["may"] & ~t["taken"]
+                return F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), truth.alias("y"), t["met"].alias("met"), may_be.alias("may"), f)
+
+            return _bound(told, judged)
 
         return of
 
     def rewritten(pattern: str, instead: str):
-        return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.regexp_replace(m["text"], pattern, instead).alias("text"))
+        return lambda m: m.withField("text", F.regexp_replace(m["text"], pattern, instead))
 
     def unmarked(kind: str) -> list[Column]:
         """The confirmed base spans of a kind in each form without a mark that still has enough digits."""
@@ -195,14 +253,14 @@ def find_candidates(documents: DataFrame) -> DataFrame:
         for pattern, instead in forms:
             spans = F.transform(f"b_{kind}", rewritten(pattern, instead))
             spans = F.filter(spans, lambda m: ~m["text"].startswith("+") & possible(kind, m["text"]))
-            out.append(F.transform(spans, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), _features(kind, m, F.col("text")).withField("context", F.lit(0)).alias("f"))))
+            out.append(F.transform(spans, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), _features(kind, m).withField("context", F.lit(0)).alias("f"))))
         return out
 
     base = F.concat(*(F.transform(f"b_{k}", placed(i)) for i, k in enumerate(KINDS)))
     wide = []
     for kind in KINDS:
         needs = F.col("text").rlike(r"@|[\[(](?:at|AT)[\])]") if kind == "email" else F.col("text").rlike(r"[0-9]")
-        found = matches(F.col("text"), _WIDE[kind], needs)
+        found = matches(F.col("text"), _WIDE[kind], needs, context=True)
         if kind == "phone":
             found = F.filter(found, lambda m: F.length(_digits(m["text"])).between(7, 15))
         if kind == "card":
@@ -214,43 +272,38 @@ def find_candidates(documents: DataFrame) -> DataFrame:
 Tree = tuple[float, list[tuple[str, int, str, int, list[float]]]]
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
-
-
 def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 40, rate: float = 0.3, shrink: float = 5.0) -> Tree:
     """Boosted trees of depth two on (features, positives, negatives): the start value, and splits f <= t twice with four leaves."""
-    pos, neg = sum(p for _, p, _ in cells), sum(n for _, _, n in cells)
-    start = math.log((pos + 1) / (neg + 1))
-    raw = [start] * len(cells)
+    names = list(FEATURES)
+    x = np.array([[f[n] for n in names] for f, _, _ in cells], np.int64)
+    pos, neg = (np.array([c[k] for c in cells], float) for k in (1, 2))
+    start = math.log((pos.sum() + 1) / (neg.sum() + 1))
+    raw = np.full(len(cells), start)
     trees = []
-    cuts = [(f, t) for f, n in FEATURES.items() for t in range(n - 1)]
 
-    def gain(rows: Iterable[int], f: str, t: int, g: list[float], h: list[float]) -> float:
-        s = [[0.0, 0.0], [0.0, 0.0]]
-        for i in rows:
-            side = s[cells[i][0][f] > t]
-            side[0] += g[i]
-            side[1] += h[i]
-        return sum(a * a / (b + shrink) for a, b in s)
+    def best(g: np.ndarray, h: np.ndarray, half: np.ndarray) -> tuple[int, int]:
+        """The feature and cut of greatest gain, summed over the two halves given."""
+        found = (-math.inf, 0, 0)
+        for k, n in enumerate(FEATURES.values()):
+            sums = [np.bincount(half * n + x[:, k], v, 2 * n).reshape(2, n) for v in (g, h)]
+            low = [v.cumsum(1)[:, :-1] for v in sums]
+            high = [v.sum(1, keepdims=True) - w for v, w in zip(sums, low, strict=True)]
+            gain = sum(a * a / (b + shrink) for a, b in (low, high)).sum(0)
+            t = int(gain.argmax())
+            if gain[t] > found[0]:
+                found = (float(gain[t]), k, t)
+        return found[1:]
 
     for _ in range(rounds):
-        p = [_sigmoid(r) for r in raw]
-        g = [c[1] * (1 - q) - c[2] * q for c, q in zip(cells, p, strict=True)]
-        h = [(c[1] + c[2]) * q * (1 - q) for c, q in zip(cells, p, strict=True)]
-        every = range(len(cells))
-        f1, t1 = max(cuts, key=lambda c: gain(every, *c, g, h))
-        halves = [[i for i in every if (cells[i][0][f1] > t1) == side] for side in (False, True)]
-        f2, t2 = max(cuts, key=lambda c: sum(gain(half, *c, g, h) for half in halves))
-        sums = [[0.0, 0.0] for _ in range(4)]
-        for i in every:
-            k = 2 * (cells[i][0][f1] > t1) + (cells[i][0][f2] > t2)
-            sums[k][0] += g[i]
-            sums[k][1] += h[i]
-        leaves = [rate * a / (b + shrink) for a, b in sums]
-        trees.append((f1, t1, f2, t2, leaves))
-        for i in every:
-            raw[i] += leaves[2 * (cells[i][0][f1] > t1) + (cells[i][0][f2] > t2)]
+        p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        g, h = pos * (1 - p) - neg * p, (pos + neg) * p * (1 - p)
+        f1, t1 = best(g, h, np.zeros(len(cells), np.int64))
+        half = (x[:, f1] > t1).astype(np.int64)
+        f2, t2 = best(g, h, half)
+        leaf = 2 * half + (x[:, f2] > t2)
+        leaves = rate * np.bincount(leaf, g, 4) / (np.bincount(leaf, h, 4) + shrink)
+        trees.append((names[f1], t1, names[f2], t2, leaves.tolist()))
+        raw += leaves[leaf]
     return start, trees
 
 
@@ -268,7 +321,7 @@ def _tree_column(model: Tree, f: Column) -> Column:
     return total
 
 
-def fit_candidates(candidates: DataFrame, precision: float = 0.98, most_cells: int = 200_000) -> dict[str, tuple[Tree, float]]:
+def fit_candidates(candidates: DataFrame, precision: float = 0.98) -> dict[str, tuple[Tree, float]]:
     """For each kind its trees and the least raw value that is selected. precision: wanted of the fold kept out (of five)."""
     held = (F.col("fold") == 0).alias("held")
     rows = candidates.select(held, F.explode("proposed").alias("c")).select("held", "c.kind", "c.f", "c.y", "c.met")
@@ -276,9 +329,7 @@ def fit_candidates(candidates: DataFrame, precision: float = 0.98, most_cells: i
     # Base spans stay anyway: what they meet trains, but the precision wanted is that of the rest.
     pos, neg = (F.count_if((F.col("y") == y) & ~(F.col("held") & F.col("met"))) for y in (1, 0))
     cells = rows.where("y is not null").groupBy("held", "kind", "f").agg(pos.alias("pos"), neg.alias("neg"))
-    cells = cells.limit(most_cells + 1).collect()
-    if len(cells) > most_cells:
-        raise ValueError("more feature vectors than most_cells")
+    cells = cells.collect()  # one for each vector of feature values, kind and fold at most: FEATURES and KINDS bound them
     out = {}
     for k, kind in enumerate(KINDS):
         own = [(r.held, r.f.asDict(), float(r.pos), float(r.neg)) for r in cells if r.kind == k]
@@ -310,10 +361,9 @@ def find_personal_data(documents: DataFrame, precision: float = 0.98) -> DataFra
                 test = F.when(c["kind"] == KINDS.index(kind), _tree_column(model, c["f"]) >= threshold - 1e-9).otherwise(test)
             return test
 
-        free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        chosen = F.filter("proposed", lambda c: free(c) & c["may"] & selected(c))
+        chosen = F.filter("proposed", lambda c: c["may"] & selected(c))
         added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    spans = F.array_sort(F.array_distinct(F.concat("base", added)))
+    spans = F.array_sort(F.concat("base", added))
 
     def of_kind(number: int):
         return lambda b: b["kind"] == number
