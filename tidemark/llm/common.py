@@ -1,7 +1,7 @@
 """Helpers that the training-data operators share: scratch tables, UTF-8 buffers and hashing.
 
 Scratch tables go to the folder that ``spark.checkpoint.dir`` names, since executors and the
-driver share only that; where it is unset (tests), a temporary folder of this session is used.
+driver share only that; where it is unset and all is one machine (tests), a temporary folder of this session is used.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for scratch data, without a trailing slash."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         root = _own_root[0]
@@ -36,10 +38,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it again: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, rows: int | None = None, per_file: int = 100_000) -> DataFrame:
+    """Write ``df`` as a scratch table and read it again: cuts the lineage, survives lost executors.
+
+    rows: how many it has at most, where that is known: small tables are written as few files of ``per_file`` rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -183,31 +190,29 @@ def prefix_sums(rows: DataFrame, group: list[str], order: Column, sums: dict[str
     return out.select(*names, *((F.col(f"_p{i}") + F.col(f"_i{i}")).alias(name) for i, name in enumerate(sums)))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): a row (node, root) for each node of an edge, root the least node.
 
-    Alternates large-star and small-star steps; each round is a table in the shared folder, nothing is collected
-    but two sums that tell whether the edges have changed.
+    Alternates large-star and small-star steps until nothing changes, which takes a number of rounds logarithmic in the
+    nodes; each round is a table in the shared folder, nothing is collected but two sums that tell whether the edges have
+    changed. rows: how many edges there are at most.
     """
     def summary(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialise(e, "edges")
-    state = summary(e)
-    for _ in range(most_rounds):
+    e = materialise(e, "edges", rows)
+    state, now = None, summary(e)
+    while now != state and now[0]:
+        state = now
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = materialise(small.union(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, materialise(small.union(down.select("a", F.col("m").alias("b"))).distinct(), "edges", 2 * state[0])
         now = summary(e)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
+        discard(old)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

@@ -117,10 +117,26 @@ def _allowed(pairs: DataFrame, sketches: DataFrame, k: int, floor: float) -> Dat
     return near.where(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= floor * F.size("u")).select("a", "b")
 
 
+_HOT_PAIRS = 1024
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, x: str) -> DataFrame:
+    """``pairs`` with s<x>, the full set of side ``x``. A class of very many pairs, a hub, has copies of its set for each thousand of them."""
+    own = sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}"))
+    hot = materialise(pairs.groupBy(x).agg(F.count("*").alias("c")).where(F.col("c") > _HOT_PAIRS).select(x, F.ceil(F.col("c") / _HOT_PAIRS).cast("int").alias("salts")), "hot", 1)
+    n = hot.count()
+    if not n:
+        return pairs.join(own, x)
+    hot = F.broadcast(hot) if n <= 100_000 else hot
+    copies = own.join(hot, x, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = pairs.join(hot, x, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return dealt.join(copies, [x, "salt"]).drop("salt")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, i (shingles in common), na, nb by full sets."""
-    a, b = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    both = _with_sets(_with_sets(pairs.select("a", "b"), sets, "a"), sets, "b")
+    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
 
 
 def _links(measured: DataFrame, percent: int) -> DataFrame:
@@ -134,9 +150,14 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _across(rows: DataFrame, keys: list[str], percent: int, columns: list[str]) -> DataFrame:
-    """Pairs of rows of equal keys, other components and sizes that allow a link, with their columns (suffixes a and b)."""
-    one, two = (rows.select(*keys, *(F.col(x).alias(f"{x}{y}") for x in ("fp", "c", "n", *columns))) for y in "ab")
-    pairs = one.join(two, keys).where("ca <> cb and fpa < fpb")
+    """Pairs of rows of equal keys, other components and sizes that allow a link, with their columns (suffixes a and b).
+
+    Sizes are part of the key: those that allow a link lie in the same band or in neighbouring ones.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    one, two = (rows.select(*keys, band.alias("band"), *(F.col(x).alias(f"{x}{y}") for x in ("fp", "c", "n", *columns))) for y in "ab")
+    one = one.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    pairs = one.join(two, [*keys, "band"]).drop("band").where("ca <> cb and fpa < fpb")
     return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
@@ -151,11 +172,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     # A class is named by its least id, but its texts are found by a row of it: ids may all be null.
     row = F.min(F.struct(row_key()[0], "th")).alias("row")
     classes = sketched.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
+    n_docs = sketched.count()
+    classes = materialise(classes, "classes", n_docs, 25_000)
 
     values = classes.select("fp", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     # Counts are written before they are joined, so that the join can be split at a value that very many classes have.
-    shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    shared = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared", n_docs * k // 2)
     entries = values.join(shared, "v")
     ordered = entries.groupBy("fp").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.sum("df").alias("w"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # k entries at most
     share = F.when(F.col("s") < k, F.ceil(F.lit(0.6) * F.col("s"))).otherwise(F.lit(int(floor * k)))
@@ -167,41 +189,43 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
         .select("fp", "n", "w", F.explode(F.slice("own", F.lit(1), F.col("prefix"))).alias("e"))
         .select("fp", "n", "w", F.col("e.v").alias("v"))
     )
-    lists = materialise(lists, "lists")
+    lists = materialise(lists, "lists", n_docs * k)
+    n_lists = lists.count()
 
     listed = lists.select("fp").distinct().join(classes.select("fp", "row"), "fp").select("row.k", "row.th")
     texts = docs.withColumn("k", row_key()[0]).join(listed, ["k", "th"], "left_semi").select("text")
-    sets = materialise(in_arrow(texts, _sets(words), _SET).dropDuplicates(["fp"]), "sets")
+    sets = materialise(in_arrow(texts, _sets(words), _SET).dropDuplicates(["fp"]), "sets", n_docs, 5_000)
     # A class weighs as much as its shingles (of a wider sketch) are common: the middle of a family weighs most.
     wide = sets.select("fp", F.explode(F.slice("shingles", 1, 4 * k)).alias("s"))
-    often = materialise(wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    often = materialise(wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often", n_docs * 2 * k)
     weights = wide.join(often, "s").groupBy("fp").agg(F.sum("df").alias("w"))
-    lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists")
+    lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists", n_lists)
 
     # The hub of a list is its heaviest member, or else the heaviest hub that its members have met, if that is much alike.
     top = lists.groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("top"), F.count("*").alias("members")).where("members > 1").drop("members")
     best = lists.join(top, "v").groupBy("fp").agg(F.max("top").alias("best"))
     hubs = lists.join(best, "fp").groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("one"), F.max("best").alias("two")).join(top, "v", "left_semi")
-    hubs = materialise(hubs.select("v", *(F.col(f"{x}.fp").alias(f"fp{x}") for x in ("one", "two"))), "hubs")
+    hubs = materialise(hubs.select("v", *(F.col(f"{x}.fp").alias(f"fp{x}") for x in ("one", "two"))), "hubs", n_lists)
     moved = hubs.where("fpone <> fptwo")
     moved = _measured(moved.select(F.col("fpone").alias("a"), F.col("fptwo").alias("b")).distinct(), sets)
-    moved = materialise(moved.where(2 * F.col("i") >= F.greatest("na", "nb")).select(F.col("a").alias("fpone"), F.col("b").alias("fptwo"), F.lit(True).alias("moved")), "moved")
+    moved = materialise(moved.where(2 * F.col("i") >= F.greatest("na", "nb")).select(F.col("a").alias("fpone"), F.col("b").alias("fptwo"), F.lit(True).alias("moved")), "moved", n_lists, 5_000)
     hubs = hubs.join(moved, ["fpone", "fptwo"], "left")
     hubs = hubs.select("v", F.when(F.col("moved"), F.col("fptwo")).otherwise(F.col("fpone")).alias("h"))
     met = lists.join(hubs, "v").select("fp", "n", "h").distinct()
-    pairs = materialise(met.where("fp <> h").select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b")).distinct(), "pairs")
-    measured = materialise(_measured(pairs, sets), "measured")
+    pairs = materialise(met.where("fp <> h").select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b")).distinct(), "pairs", n_lists)
+    n_pairs = pairs.count()
+    measured = materialise(_measured(pairs, sets), "measured", n_pairs, 5_000)
     links = _links(measured, percent)
-    found = materialise(components(links), "found")
+    found = materialise(components(links, n_pairs), "found", 2 * n_pairs)
 
     # What is left are pairs of other components that met the same hub h: |x & y| = |x & y & h| + |x & y - h|, so either
     # min(|x & h|, |y & h|) is enough for a link, or they share something beside h.
     met = met.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root")
-    met = materialise(met.where("fp <> h"), "met")
+    met = materialise(met.where("fp <> h"), "met", n_lists)
     own = measured.select(F.col("a").alias("fp"), F.col("b").alias("h"), "i").union(measured.select("b", "a", "i"))
     share = lambda n: F.ceil(F.lit(percent) * n / (100 + percent))  # noqa: E731  least overlap of a link of two sets of n in all
     known = met.join(own, ["fp", "h"])
-    known = materialise(_several(known, "h"), "known")
+    known = materialise(_several(known, "h"), "known", n_lists)
     partner = F.greatest("lo", F.ceil(F.lit(percent) * F.col("n") / 100))
     close = _several(known.where(F.col("i") >= share(F.col("n") + partner)), "h")
     rest = _across(close, ["h"], percent, ["i"]).where(F.least("ia", "ib") >= share(F.col("na") + F.col("nb"))).select(F.col("fpa").alias("a"), F.col("fpb").alias("b"))
@@ -217,22 +241,24 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     kept = kept.withColumn("prefix", (F.size("own") - needed + 1).cast("int")).where("prefix > 0")
     kept = kept.select("h", "fp", "n", "c", F.size("own").alias("w"), F.explode(F.slice("own", F.lit(1), F.col("prefix"))["s"]).alias("s"))
     kept = materialise(kept.withColumn("hs", F.struct("h", "s")).drop("h", "s"), "kept")
+    n_kept = kept.count()
     # Families within families: the heaviest of each such list first, all others only where components remain.
     top = kept.groupBy("hs").agg(F.max(F.struct("w", "fp", "n", "c")).alias("top"))
     star = kept.join(top, "hs").where("c <> top.c").where(100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
     star = star.select(F.least("fp", "top.fp").alias("a"), F.greatest("fp", "top.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    measured = measured.union(materialise(_measured(materialise(star, "star"), sets), "measured"))
+    measured = measured.union(materialise(_measured(materialise(star, "star", n_kept), sets), "measured", n_kept, 5_000))
     links = _links(measured, percent)
-    found = materialise(components(links), "found")
+    found = materialise(components(links, n_pairs + n_kept), "found", 2 * (n_pairs + n_kept))
     pairs = measured.select("a", "b")
     kept = kept.drop("c").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("root", "fp")).drop("root")
     beyond = materialise(_across(_several(kept, "hs"), ["hs"], percent, []).select("fpa", "fpb"), "beyond")
     rest = rest.union(beyond)
 
     rest = materialise(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = materialise(_links(_measured(materialise(_allowed(rest, classes, k, floor), "near"), sets), percent), "links")
+    n_rest = rest.count()
+    more = materialise(_links(_measured(materialise(_allowed(rest, classes, k, floor), "near", n_rest, 25_000), sets), percent), "links", n_rest, 5_000)
     if not more.isEmpty():
-        found = materialise(components(links.union(more)), "found")
+        found = components(links.union(more))
 
     rooted = classes.select("fp", "id").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("root", "fp").alias("c"))
     least = rooted.groupBy("c").agg(F.min("id").alias("component_id"))
