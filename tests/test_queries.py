@@ -18,8 +18,3 @@ def test_twin(spark, name):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.sql(SQL[name]).df())
-
-
-def test_generators_have_rows(spark):
-    assert QUERIES["gen_bounded"](spark, SF).count() == 10_000
-    assert QUERIES["gen_heavy_tailed"](spark, SF).count() == 20_000

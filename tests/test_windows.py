@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordered
 from tidemark.functions.hashing import crc32c, fnv1a, fnv1a_column, unsigned_mod
 from tidemark.model import StreamConfig
 from tidemark.operators import emissions, lateness, merge, watermark, windows
@@ -124,3 +125,12 @@ def test_aligned_cuts_from_counts():
     assert merge.align([2000, 6000], [100, 300], 0) == [400 * n for n in range(1, 21)]
     assert merge.align([6000, 6000], [50, 5000])[0] == 5050
     assert merge.align([5000], [1000]) == [1000, 2000, 3000, 4000, 5000]
+
+
+def test_busy_spans_are_cut_finer(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("t"), "id")
+    for limits in ({}, {"least_bytes": 0, "most_rows": 100}):
+        cut, bucket = ordered.time_buckets(rows, "t", 1000, **limits)
+        out = ordered.dense_offsets(cut, bucket, [F.col("t"), F.col("id")])
+        assert [r.t for r in out.orderBy("offset").collect()] == list(range(3000))
+        assert cut.select(bucket).distinct().count() == (30 if limits else 3)

@@ -18,7 +18,6 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from py4j.java_gateway import is_instance_of
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +79,17 @@ class Folder:
             stream.close()
 
 
+def unreadable(error: Py4JJavaError) -> bool:
+    """Whether the JVM failed since a file is missing, cut short or damaged, and not for another reason."""
+    cause = error.java_exception
+    while cause is not None:
+        text = cause.toString()
+        if "FAILED_READ_FILE" in text or text.startswith(("java.io.", "org.apache.hadoop.fs.")):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def _summary(table: DataFrame) -> dict[str, int]:
     """Rows, and the sum of their hashes modulo a prime below 2**31: the same in any order."""
     row = table.agg(F.count("*").alias("rows"), F.sum(F.pmod(F.xxhash64(*sorted(table.columns)), F.lit(2_147_483_647))).alias("sum")).first()
@@ -137,8 +147,8 @@ class CheckpointStore:
                     return None
         except (PySparkException, ValueError, KeyError):
             return None
-        except Py4JJavaError as e:  # no such file, or one that can't be read
-            if not is_instance_of(self.spark.sparkContext._gateway, e.java_exception, "java.io.IOException"):
+        except Py4JJavaError as e:
+            if not unreadable(e):
                 raise
             return None
         return Snapshot(offset, content["watermark"], tables["panes"], tables["windows"])

@@ -38,6 +38,21 @@ def running_max(rows: DataFrame, order: str, value: str, width: int = 4096) -> D
     return out.withColumn("upto", F.greatest("_u", "_p")).withColumn("before", F.greatest("_w", "_p")).drop("_b", "_t", "_p", "_u", "_w")
 
 
+def time_buckets(rows: DataFrame, column: str, width: int, least_bytes: int = 1 << 30, most_rows: int = 1 << 20) -> tuple[DataFrame, Column]:
+    """``rows``, and a bucket for ``dense_offsets`` that follows ``column``: spans of ``width``, busy ones of large tables cut finer.
+
+    Above ``least_bytes`` (estimated), rows are counted by span first, and a span is cut into as many equal parts as its
+    rows ask for; the counts are a row for each span of the time that the table covers, so they are broadcast.
+    """
+    span = F.floor(F.col(column) / width)
+    if estimated_bytes(rows) <= least_bytes:
+        return rows, span
+    counts = rows.groupBy(span.alias("_span")).agg(F.ceil(F.count("*") / most_rows).alias("_parts"))
+    rows = rows.withColumn("_span", span).join(F.broadcast(counts), "_span")
+    part = F.least(F.floor((F.col(column) - F.col("_span") * width) * F.col("_parts") / width), F.col("_parts") - 1)
+    return rows.withColumn("_bucket", F.col("_span") * (1 << 20) + part).drop("_span", "_parts"), F.col("_bucket")
+
+
 def dense_offsets(rows: DataFrame, bucket: Column, order: list[Column], name: str = "offset") -> DataFrame:
     """``rows`` with 1, 2, ... in the order of (bucket, *order); bucket must not fall where the order rises."""
     rows = rows.withColumn("_b", bucket)

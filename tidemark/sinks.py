@@ -10,10 +10,12 @@ import sys
 from collections.abc import Callable
 from typing import Any, Protocol, TextIO
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.checkpoints import Folder, _summary
+from tidemark.checkpoints import Folder, _summary, unreadable
 from tidemark.functions.hashing import crc32c
 
 RESULT = "key string, window_start_ms long, window_end_ms long, sum long, count long"
@@ -89,8 +91,6 @@ class DurableSink:
 
     def committed(self) -> list[int]:
         """Numbers of the whole batches before the first torn one."""
-        from pyspark.errors import PySparkException
-
         out, names = [], self.folder.names()
         for number in sorted(int(n.removeprefix("batch-")) for n in names if n.startswith("batch-")):
             if f"commit-{number:012d}" not in names:
@@ -98,7 +98,9 @@ class DurableSink:
             rows, total, crc = (self.folder.read(f"commit-{number:012d}").decode("ascii", "replace") + "  ").split(" ")[:3]
             try:
                 whole = crc == f"{crc32c(f'{rows} {total}'.encode()):08x}" and _summary(self._batch(number)) == {"rows": int(rows), "sum": int(total)}
-            except PySparkException:
+            except (PySparkException, Py4JJavaError) as e:
+                if isinstance(e, Py4JJavaError) and not unreadable(e):
+                    raise
                 whole = False
             if not whole:
                 break

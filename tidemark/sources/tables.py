@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import dense_offsets
+from tidemark.functions.ordered import dense_offsets, time_buckets
 from tidemark.model import HOUR
 
 
@@ -25,7 +25,8 @@ def event_stream(spark: SparkSession, sf_dir: str, delayed: bool = True) -> Data
         e.cast("long").alias("e"),
         (e + delay).cast("long").alias("arrival"),
     )
-    return dense_offsets(rows, F.floor(F.col("arrival") / HOUR), [F.col("arrival"), F.col("event_id")]).drop("arrival")
+    rows, bucket = time_buckets(rows, "arrival", HOUR)
+    return dense_offsets(rows, bucket, [F.col("arrival"), F.col("event_id")]).drop("arrival", "_bucket")
 
 
 def stop_at(stream: DataFrame, records: int) -> DataFrame:
