@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,27 @@ def test_suffix_dedup(docs, rows, empty, most):
     assert suffix_dedup.remove_repeats(empty, length, 16).count() == 0
 
 
+def test_suffix_index_takes_batches(spark, docs, rows, empty):
+    one, more = (sorted(map(tuple, suffix_dedup.remove_repeats(docs, 40, 16, batches=n).collect()), key=str) for n in (1, 5))
+    assert one == more
+    # A batch that comes later meets an earlier one, and both are told.
+    text = "".join(random.Random(1).choices("abcdefgh", k=400))
+    frames = [spark.createDataFrame([(i, i, t)], "k long, th long, text string") for i, t in enumerate((text, "x" + text[50:350], "nothing of it"))]
+    index = suffix_dedup.SuffixIndex(frames[0].union(frames[1]).union(frames[2]), 40, 16)
+    found = [index.append(f).collect() for f in frames]
+    assert [len(f) > 0 for f in found] == [False, True, False]
+    covered = {k: {x for r in found[1] if r.k == k for x in range(r.a, r.b)} for k in (0, 1)}
+    assert covered == {0: set(range(50, 350)), 1: set(range(1, 301))}
+    assert [x is not None for x in index.levels] == [True, True]
+    index.close()
+
+
+def test_suffix_dedup_of_periodic_text(spark):
+    frame = spark.createDataFrame([(1, "x" * 300_000), (2, "abc" * 90_000), (3, "y" * 200), (4, "z" * 201 + "end"), (5, "head" + "y" * 200)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert got == {1: (300_000, 1), 2: (270_000, 1), 3: (200, 1), 4: (201, 1), 5: (200, 1)}
+
+
 def test_personal_data(spark, empty):
     texts = [
         None, "", "Mail a.b@x.org, or a@b@c.de; 1.2.3.4 and 1.2.3.256 and 1.2.3.4.5", "card 4111 1111 1111 1111 or 4111-1111-1111-1112, tel +1 (555) 555-1234 é +1 23",
@@ -198,6 +220,17 @@ def test_personal_data_adds_unmarked_forms(spark):
             assert r.s == r.b and r.b.count(":") == 4
 
 
+def test_personal_data_of_long_texts(spark):
+    """Many matches in one text: places as told by Python's own patterns, overlaps by comparing all pairs."""
+    text = "mail a.b@c.de, 10.0.0.1 or +49 30 1234567; 4111 1111 1111 1111 555-123-4567 x (at) y (dot) org é " * 3000
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [tuple(b) for b in row.base if b.kind == 0] == want
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (3000, 3000, 3000, 3000)
+    spans = [tuple(b) for b in row.spans]
+    assert all(a[2] <= b[0] for a, b in itertools.pairwise(spans))
+
+
 def test_boosting_learns():
     cells = [({**dict.fromkeys(pii.FEATURES, 0), "digits": d, "lead": x}, 10.0 * (d > 4), 10.0 * (d <= 4)) for d in range(9) for x in range(4)]
     model = pii.boost(cells)
@@ -217,10 +250,26 @@ def test_token_files(docs, rows, empty, tmp_path):
     assert token_files.token_index(empty, vocabulary()).count() == 0
 
 
-def test_encoder_equals_whole_texts():
-    encoder = token_files.Encoder(vocabulary(), 0)
-    for text in ("a  b", " a b", "a\n b", "a b\n", "a <|endoftext|> b", "it's 'll we'll x", "tab\tb c", "é ü, x.", "don't 's a,", "A1 b2, c3. d!\nE f.", " x y"):
-        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+def test_encoder_equals_whole_texts(spark):
+    encoder = token_files.Encoder(vocabulary(), 0, most_bytes=200_000)
+    texts = ["a  b", " a b", "a\n b", "a b\n", "a <|endoftext|> b", "it's 'll we'll x", "tab\tb c", "é ü, x.", "don't 's a,", "A1 b2, c3. d!\nE f.", " x y", "", None, "\n", " ", "Ёлка, да.\nнет!", "\u2003x y\u00a0z", "日本 語。a", "\n\nx", "x ,'s ''d", "ﬁ ǅa,"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    flat, sizes = encoder.encode(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert got == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_wide_ids_and_other_tokenisers(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    wide = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 70_000, "b": 1}, unk_token="[UNK]"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    wide.save(f"{tmp_path}/wide.json")
+    rows = spark.createDataFrame([(2, "a b"), (1, "b zzz"), (None, None)], "doc_id long, text string")
+    got = token_files.token_index(rows, f"{tmp_path}/wide.json", end_id=90_000, folder=f"{tmp_path}/out").orderBy("start").collect()
+    want = [[90_000], [1, 0, 90_000], [70_000, 1, 90_000]]
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 1), (1, 1, 3), (2, 4, 3)]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
 
 
 def test_media(docs, rows, empty):

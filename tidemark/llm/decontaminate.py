@@ -6,8 +6,10 @@ there, so its rarest word (fewest windows have it; then the longest, then the fi
 words are joined with prefixes alone. Where one meets, the word's place in the window gives the only possible start;
 starts before the text or past its length are dropped, and the rest is compared word by word.
 
-The prefix table is broadcast while the benchmark has at most ``broadcast_windows`` distinct windows, and joined by a
-shuffle beyond that. Null texts and texts without words have no words and no hits; null items have no windows. Repeated
+The prefix table is broadcast while the benchmark has at most ``broadcast_windows`` distinct windows. Beyond that, words
+that are no prefix are dropped first (by a broadcast of the prefixes' words, of which there are at most as many as words
+in use; up to ``broadcast_tokens``), and the others joined by a shuffle on the prefix and its neighbour. Very long texts
+and ties of rarity change nothing. Null texts and texts without words have no words and no hits; null items have no windows. Repeated
 items count by their ids; repeated documents have equal results, row by row.
 """
 
@@ -52,18 +54,36 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda s: s["n"])
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
+def _joined_by_pairs(texts: DataFrame, prefix: DataFrame, broadcast_tokens: int) -> DataFrame:
+    """Document words with the prefixes they meet, by a shuffle on two neighbouring words: a prefix and the word after it,
+    or before it where it is a window's last. Words that are no prefix are left out before, if the prefixes can be broadcast."""
+    parts = F.split("w", " ")
+    side = F.when(F.col("place") + 1 < F.col("length"), 1).when(F.col("place") > 0, -1).otherwise(0)
+    prefix = prefix.withColumn("side", side).withColumn("other", F.when(F.col("side") == 0, "").otherwise(F.get(parts, F.col("place") + F.col("side"))))
+    around = F.transform("words", lambda x, i: F.struct(x.alias("token"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("before")))
+    terms = texts.select("k", "th", "n", F.posexplode(around).alias("p", "x")).select("k", "th", "n", "p", "x.*")
+    tokens = prefix.select("token").distinct()
+    if tokens.count() <= broadcast_tokens:
+        terms = terms.join(F.broadcast(tokens), "token", "left_semi")
+    keys = F.array(*(F.struct(F.lit(s).alias("side"), c.alias("other")) for s, c in ((1, F.col("after")), (-1, F.col("before")), (0, F.lit("")))))
+    terms = terms.select("k", "th", "n", "p", "token", F.explode(keys).alias("key")).select("k", "th", "n", "p", "token", "key.*")
+    return terms.join(prefix, ["token", "side", "other"])
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated, and the row key, for every row of (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.select("doc_id", *row_key(), "text")
     windows = materialise(item_windows(benchmark, size), "windows")
     prefix = materialise(prefixes(windows), "prefixes")
+    texts = docs.select("k", "th", words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     if prefix.count() <= broadcast_windows:
-        prefix = F.broadcast(prefix)
-
-    terms = docs.select("k", "th", words(F.col("text")).alias("words")).select("k", "th", F.size("words").alias("n"), F.posexplode("words").alias("p", "token"))
+        terms = texts.select("k", "th", "n", F.posexplode("words").alias("p", "token"))
+        met = terms.join(F.broadcast(prefix), "token")
+    else:
+        met = _joined_by_pairs(texts, prefix, broadcast_tokens)
     start = F.col("p") - F.col("place")
-    met = terms.join(prefix, "token").where((start >= 0) & (start + F.col("length") <= F.col("n")))
+    met = met.where((start >= 0) & (start + F.col("length") <= F.col("n")))
     met = met.groupBy("k", "th").agg(F.collect_set(F.struct(start.alias("a"), (start + F.col("length")).alias("b"), "w")).alias("met"))  # of one document
 
     both = docs.join(met, ["k", "th"], "left").withColumn("words", words(F.col("text")))
