@@ -11,7 +11,8 @@ own takes that of the nearest directory above it that has one (``inherited``), f
 
 Templates are a fixed table and broadcast. Only lines with cues are spread into words. Directories with several licence
 files take the one of highest similarity, then of least name. Null and empty texts have no own licence; null paths have
-no directory. Repeated rows are scanned alike, each of them.
+no directory. Repeated rows are scanned alike, each of them. Very long texts are scanned in full: their lines one by one,
+and as a whole by their distinct words. Of templates of equal similarity the first in order counts.
 """
 
 from __future__ import annotations

@@ -7,6 +7,9 @@ as a random-access point, so a reader can start there.
 
 ``parse`` reads such bytes without other knowledge: it follows PAT and PMT to the stream, checks continuity counters,
 reassembles the PES packets and gives their payloads, time stamps and the byte positions of random-access points.
+
+Null texts are stored as empty ones. Equal texts give equal streams, so repeated rows have equal values; very long texts
+make longer streams, one document in memory at a time; columns but doc_id and text are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations

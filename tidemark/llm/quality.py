@@ -10,7 +10,8 @@
 
 Labels are the only thing learned from; ids, sources and languages are no inputs. Null and empty texts have zero
 statistics and are scored like any other text. Without labels every score is 0.5. Rows of ``labels`` with null label or
-unknown id are ignored; an id labelled twice counts twice.
+unknown id are ignored; an id labelled twice counts twice. Repeated rows are scored alike, each of them, and train as often as
+they occur; rows of equal raw scores get equal scores. Very long texts are counted in full; an empty table gives no rows.
 """
 
 from __future__ import annotations
