@@ -199,7 +199,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     wide = sets.select("fp", F.explode(F.slice("shingles", 1, 4 * k)).alias("s"))
     often = materialise(wide.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "often", n_docs * 2 * k)
     weights = wide.join(often, "s").groupBy("fp").agg(F.sum("df").alias("w"))
-    lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists", n_lists)
+    lists = materialise(lists.drop("w").join(weights, "fp", "left").withColumn("w", F.coalesce("w", F.lit(0))), "lists", n_lists, 10_000)
 
     # The hub of a list is its heaviest member, or else the heaviest hub that its members have met, if that is much alike.
     top = lists.groupBy("v").agg(F.max(F.struct("w", "fp", "n")).alias("top"), F.count("*").alias("members")).where("members > 1").drop("members")
@@ -208,13 +208,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     hubs = materialise(hubs.select("v", *(F.col(f"{x}.fp").alias(f"fp{x}") for x in ("one", "two"))), "hubs", n_lists)
     moved = hubs.where("fpone <> fptwo")
     moved = _measured(moved.select(F.col("fpone").alias("a"), F.col("fptwo").alias("b")).distinct(), sets)
-    moved = materialise(moved.where(2 * F.col("i") >= F.greatest("na", "nb")).select(F.col("a").alias("fpone"), F.col("b").alias("fptwo"), F.lit(True).alias("moved")), "moved", n_lists, 5_000)
+    moved = materialise(moved.where(2 * F.col("i") >= F.greatest("na", "nb")).select(F.col("a").alias("fpone"), F.col("b").alias("fptwo"), F.lit(True).alias("moved")), "moved", n_lists, 2_000)
     hubs = hubs.join(moved, ["fpone", "fptwo"], "left")
     hubs = hubs.select("v", F.when(F.col("moved"), F.col("fptwo")).otherwise(F.col("fpone")).alias("h"))
     met = lists.join(hubs, "v").select("fp", "n", "h").distinct()
     pairs = materialise(met.where("fp <> h").select(F.least("fp", "h").alias("a"), F.greatest("fp", "h").alias("b")).distinct(), "pairs", n_lists)
     n_pairs = pairs.count()
-    measured = materialise(_measured(pairs, sets), "measured", n_pairs, 5_000)
+    measured = materialise(_measured(pairs, sets), "measured", n_pairs, 2_000)
     links = _links(measured, percent)
     found = materialise(components(links, n_pairs), "found", 2 * n_pairs)
 
@@ -246,7 +246,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
     top = kept.groupBy("hs").agg(F.max(F.struct("w", "fp", "n", "c")).alias("top"))
     star = kept.join(top, "hs").where("c <> top.c").where(100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
     star = star.select(F.least("fp", "top.fp").alias("a"), F.greatest("fp", "top.fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    measured = measured.union(materialise(_measured(materialise(star, "star", n_kept), sets), "measured", n_kept, 5_000))
+    measured = measured.union(materialise(_measured(materialise(star, "star", n_kept), sets), "measured", n_kept, 2_000))
     links = _links(measured, percent)
     found = materialise(components(links, n_pairs + n_kept), "found", 2 * (n_pairs + n_kept))
     pairs = measured.select("a", "b")
@@ -256,7 +256,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 75, k:
 
     rest = materialise(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     n_rest = rest.count()
-    more = materialise(_links(_measured(materialise(_allowed(rest, classes, k, floor), "near", n_rest, 25_000), sets), percent), "links", n_rest, 5_000)
+    more = materialise(_links(_measured(materialise(_allowed(rest, classes, k, floor), "near", n_rest, 10_000), sets), percent), "links", n_rest, 2_000)
     if not more.isEmpty():
         found = components(links.union(more))
 
