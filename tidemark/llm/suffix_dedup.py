@@ -347,7 +347,7 @@ class SuffixIndex:
             if old is None:
                 self.levels[i] = run
                 return
-            merged = materialise(run.union(old).repartition("h").sortWithinPartitions("h"), "run")
+            merged = materialise(run.union(old).repartition("h", "k").sortWithinPartitions("h"), "run")
             discard(run, old)
             run = merged
         self.levels.append(run)
