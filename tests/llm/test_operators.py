@@ -323,6 +323,28 @@ def test_mapped_language_models_equal_broadcast_ones(spark):
     assert got[0] == got[1] and all(lang == pred for _, lang, pred, _ in got[1])
 
 
+def test_languages_are_calibrated_on_every_row(spark):
+    """Temperature and highest accepted entropies of 12,000 rows against numpy over all of them; the oddest rows come once each."""
+    rng = random.Random(11)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    text = lambda lang, n: "".join(rng.choices(letters[lang] + " ", k=n))
+    train = spark.createDataFrame([(i, text(x, 400), x) for i in range(30) for x in letters], "doc_id long, text string, lang string")
+    rows = [(i, text(x, 24), x) for i, x in enumerate(rng.choices("abc", k=12_000))]
+    rows += [(20_006 + i, t, x) for i, (t, x) in enumerate([("xyzz", "a"), ("qrst", "b"), ("uvwx", "c"), (None, "a"), ("", "b"), ("12 !", "c"), ("abc", None), ("abc", "d")])]
+    got = langid.train_languages(train, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    known = [(t, x) for _, t, x in rows if t and x in letters and re.search("[a-z]", t)]
+    flat = np.frombuffer("".join(t for t, _ in known).encode(), np.uint8)
+    packed, ends, _ = langid.grams(flat, np.cumsum([0] + [len(t) for t, _ in known]))
+    h, truth = got.entropies(packed, ends), np.array([got.langs.index(x) for _, x in known])
+    loss = [-np.log(np.maximum(got.scores(h, t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in langid._TEMPERATURES]
+    assert got.temperature == langid._TEMPERATURES[int(np.argmin(loss))]
+    for k, model in enumerate(got.models):
+        top = h[truth == k, k].max()
+        assert got.most_entropy[k] == pytest.approx(top + 0.25 * max(0.0, -np.log(model.uniform) - top))
+    held = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), got)
+    assert held.where("lang in ('a', 'b', 'c') and lang_pred = lang and not accepted").count() == 0
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(60)) if i % 2 else "BUY NOW!! " * 40 for i in range(400)]

@@ -9,8 +9,8 @@ cross-entropy is no higher than what held-back labelled texts reach, with room t
 n-gram counts cover every training row. They are summed in the workers and by a shuffle on (lang, gram). Up to
 ``most_grams`` distinct n-grams of four letters in all languages are made a model on the driver and broadcast. Where there
 are more, none is dropped: the same discounts, continuation counts and probabilities are made by shuffles, written to the
-shared folder as sorted arrays, and mapped into memory by the workers. Calibration reads a sample of about
-``calibration_rows`` rows, by a hash of their ids, and of twice as many at most.
+shared folder as sorted arrays, and mapped into memory by the workers. Calibration reads every row of its fold too: workers
+sum the loss at each temperature, as whole numbers, and keep each language's highest cross-entropy.
 
 Null texts, empty texts and texts without letters are ``und`` with score 0 and not accepted; so is every text if there is
 no labelled row to learn from. Repeated rows are counted as often as they occur and predicted alike; of languages of equal
@@ -37,6 +37,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 _SHIFT = np.uint64(16)
 #: Bytes of text that a worker looks at at once, and n-grams that it holds before it sums or gives them up.
 _BLOCK, _MOST_HELD = 1 << 18, 1 << 20
+#: Temperatures that calibration tries, and the parts of a nat in which it sums losses: whole numbers add up alike in any order.
+_TEMPERATURES, _PARTS = 2.0 ** np.arange(-2, 9), 1 << 20
 
 
 @cache
@@ -261,27 +263,22 @@ class LanguageModels:
             out[some] = -np.add.reduceat(logs.astype(np.float64), ends[:-1][some], axis=0) / n[some, None]
         return out
 
-    def scores(self, entropies: np.ndarray) -> np.ndarray:
-        x = -self.temperature * (entropies - entropies.min(1, keepdims=True))
+    def scores(self, entropies: np.ndarray, temperature: float | None = None) -> np.ndarray:
+        x = -(self.temperature if temperature is None else temperature) * (entropies - entropies.min(1, keepdims=True))
         e = np.exp(x)
         return e / e.sum(1, keepdims=True)
 
-    def calibrate(self, entropies: np.ndarray, truth: np.ndarray, spare: float) -> None:
-        """Fit the temperature by likelihood, and the highest entropy accepted in each language."""
-        if not len(truth):
-            return
-        best, rows = np.inf, np.arange(len(truth))
-        for t in 2.0 ** np.arange(-2, 9):
-            self.temperature, old = t, self.temperature
-            loss = -np.log(np.maximum(self.scores(entropies)[rows, truth], 1e-12)).mean()
-            if loss < best:
-                best = loss
-            else:
-                self.temperature = old
-        for k, model in enumerate(self.models):
-            own = entropies[truth == k, k]
-            if len(own):
-                top = float(own.max())
+    def losses(self, entropies: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """The summed loss of rows of known language at each of the temperatures, in parts of a nat."""
+        own = (self.scores(entropies, t)[np.arange(len(truth)), truth] for t in _TEMPERATURES)
+        return np.array([np.rint(-np.log(np.maximum(x, 1e-12)) * _PARTS).astype(np.int64).sum() for x in own])
+
+    def calibrate(self, losses: np.ndarray, highest: dict[str, float], spare: float) -> None:
+        """Take the temperature of least loss, and the highest entropy accepted in each language from the highest seen."""
+        self.temperature = float(_TEMPERATURES[losses.argmin()])
+        for k, (lang, model) in enumerate(zip(self.langs, self.models, strict=True)):
+            if lang in highest:
+                top = highest[lang]
                 self.most_entropy[k] = top + spare * max(0.0, -np.log(model.uniform) - top)
 
 
@@ -318,10 +315,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _predict(shared, with_entropies: bool):
+def _block_bytes(models: LanguageModels) -> int:
+    return max(1 << 14, _BLOCK * 4 // max(4, len(models.langs)))
+
+
+_LOSS = "lang string, highest double, t int, loss long"
+
+
+def _calibration(shared):
+    """Of rows (lang, text): the highest entropy of each language (lang, highest), and the loss at each temperature (t, loss)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: LanguageModels = shared.value
+        index = {lang: k for k, lang in enumerate(models.langs)}
+        highest, losses = np.full(len(index), -np.inf), np.zeros(len(_TEMPERATURES), np.int64)
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            truth = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
+            for i, j in row_blocks(at, _block_bytes(models)):
+                packed, ends, letters = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                some = np.flatnonzero(letters > 0)
+                if len(some):
+                    h, own = models.entropies(packed, ends)[some], truth[i:j][some]
+                    losses += models.losses(h, own)
+                    np.maximum.at(highest, own, h[np.arange(len(own)), own])
+        seen = np.flatnonzero(highest > -np.inf)
+        if len(seen):
+            k, t = len(seen), len(losses)
+            columns = [[models.langs[x] for x in seen] + [None] * t, highest[seen].tolist() + [None] * t, [None] * k + list(range(t)), [None] * k + losses.tolist()]
+            types = (pa.string(), pa.float64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=["lang", "highest", "t", "loss"])
+
+    return run
+
+
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: LanguageModels = shared.value
-        block = max(1 << 14, _BLOCK * 4 // max(4, len(models.langs)))
+        block = _block_bytes(models)
         for batch in batches:
             data, at = utf8(batch.column("text"))
             for i, j in row_blocks(at, block):
@@ -340,21 +370,16 @@ def _predict(shared, with_entropies: bool):
                 rest = [batch.column(c).slice(i, n) for c in batch.schema.names if c != "text"]
                 names = [c for c in batch.schema.names if c != "text"]
                 more = [pa.array(langs), pa.array(scores), pa.array(accepted), pa.array(lowest)]
-                if with_entropies:
-                    rows = h.tolist() if len(some) else [[] for _ in range(n)]
-                    more.append(pa.array(rows, pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(rest + more, names=names + ["lang_pred", "score", "accepted", "entropy"] + ["entropies"] * with_entropies)
+                yield pa.RecordBatch.from_arrays(rest + more, names=names + ["lang_pred", "score", "accepted", "entropy"])
 
     return run
 
 
-def train_languages(
-    labelled: DataFrame, calibration: DataFrame, most_grams: int = 4_000_000, calibration_rows: int = 4000, spare: float = 0.25
-) -> LanguageModels:
-    """Models learned from all rows (text, lang) of ``labelled``, calibrated on a sample of ``calibration`` (doc_id, text, lang).
+def train_languages(labelled: DataFrame, calibration: DataFrame, most_grams: int = 4_000_000, spare: float = 0.25) -> LanguageModels:
+    """Models learned from all rows (text, lang) of ``labelled``, calibrated on all of ``calibration`` whose lang they know.
 
     most_grams: up to so many n-grams the models are broadcast, beyond it mapped from the shared folder; results are the same.
-    spare: where the highest accepted entropy lies between the highest of the sample (0) and that of random letters (1).
+    spare: where the highest accepted entropy lies between the highest of ``calibration`` (0) and that of random letters (1).
     """
     counts = in_arrow(labelled.where("lang is not null and text is not null").select("lang", "text"), _count, "lang string, gram long, n long")
     counts = materialise(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
@@ -370,14 +395,14 @@ def train_languages(
             order = np.argsort(keys[own].view(np.uint64))
             models[lang] = KneserNey(keys[own].view(np.uint64)[order], n[own][order])
     out = LanguageModels(models)
-    known = calibration.where(F.col("lang").isin(*out.langs) & F.col("text").isNotNull()) if models else None
-    if known is not None and (rows := known.count()):
-        part = min(1.0, calibration_rows / rows)
-        sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select("lang", "text").limit(2 * calibration_rows)
+    if models:
+        known = calibration.where(F.col("lang").isin(*out.langs) & F.col("text").isNotNull()).select("lang", "text")
         shared = labelled.sparkSession.sparkContext.broadcast(out)  # most_grams n-grams at most, or the names of pieces
-        got = in_arrow(sample, _predict(shared, True), "lang string, lang_pred string, score double, accepted boolean, entropy double, entropies array<double>")
-        got = [r for r in got.where("lang_pred <> 'und'").select("lang", "entropies").collect()]
-        out.calibrate(np.array([r.entropies for r in got]), np.array([out.langs.index(r.lang) for r in got]), spare)
+        got = in_arrow(known, _calibration(shared), _LOSS).groupBy("lang", "t").agg(F.max("highest").alias("highest"), F.sum("loss").alias("loss"))
+        got = got.collect()  # a row for each language and temperature
+        if got:
+            losses = np.array([r.loss for r in sorted((r for r in got if r.lang is None), key=lambda r: r.t)])
+            out.calibrate(losses, {r.lang: r.highest for r in got if r.lang is not None}, spare)
     return out
 
 
@@ -387,7 +412,7 @@ def predict_languages(documents: DataFrame, models: LanguageModels) -> DataFrame
     shared = documents.sparkSession.sparkContext.broadcast(models)
     rows = documents.select(*columns, F.col("text").cast("string"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    out = in_arrow(rows, _predict(shared, False), f"{types}, lang_pred string, score double, accepted boolean, entropy double")
+    out = in_arrow(rows, _predict(shared), f"{types}, lang_pred string, score double, accepted boolean, entropy double")
     return out.withColumn("entropy", F.nanvl("entropy", F.lit(None).cast("double")))
 
 
