@@ -145,6 +145,39 @@ def test_suffix_dedup(docs, rows, empty, most):
     assert suffix_dedup.remove_repeats(empty, length, 16).count() == 0
 
 
+def test_suffix_dedup_splits_busy_heads(spark, monkeypatch):
+    """One line in 400 different surroundings: no plan lists its windows one by one, parts stay few, and results are brute force's."""
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    line, length, plans, parts = some(90), 40, [], []
+    sides = [some(30) for _ in range(8)]
+    texts = [rng.choice([*sides, some(30)]) + line[rng.choice([0, 0, 5, 20]) : rng.choice([50, 70, 90, 90])] + rng.choice([*sides, some(30)]) + some(20) for _ in range(400)]
+    real = suffix_dedup.materialise
+
+    def watched(df, name, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = real(df, name, *rest)
+        if name == "parts":
+            parts.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", watched)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame, length, 16, most_snippets=20).collect()}
+    assert parts and sum(parts) < 12 * len(texts) and not any("explode" in x for x in plans)
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    for doc, t in enumerate(texts):
+        gone = np.zeros(len(t) + 1, np.int8)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = 1
+        kept = "".join(c for c, g in zip(t, gone[:-1], strict=True) if not g)
+        assert got[doc] == (int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept.encode()).hexdigest()), doc
+
+
 def test_suffix_index_takes_batches(spark, docs, rows, empty):
     one, more = (sorted(map(tuple, suffix_dedup.remove_repeats(docs, 40, 16, batches=n).collect()), key=str) for n in (1, 5))
     assert one == more

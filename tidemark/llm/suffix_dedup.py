@@ -14,8 +14,10 @@ A byte goes if it lies in a string of ``length`` bytes that starts anywhere else
    counted where they are cut out; a snippet that occurs twice is repeated as a whole. Different ones are dealt by their
    head, sorted, and taken some thousands at a time, heads kept whole: their suffix arrays (after the anchor, and reversed
    before it) with the common prefixes of neighbours tell which of them share a window, and where.
-4. Heads with more than ``most_snippets`` different snippets are split further, down to their windows: those are counted
-   one by one, by a digest, with partial sums before the shuffle. So a task holds a batch and one head's snippets at most.
+4. Heads with more than ``most_snippets`` different snippets are split: a snippet is cut into parts whose windows have their
+   anchor in one block of offsets, four parts or so, and a part's head is what all windows of its block have in common.
+   Equal windows meet under equal heads. Equal parts are counted again, and heads that still hold too many are split on,
+   with blocks of a fourth, down to single windows. So a task holds a batch and one head's snippets at most.
 5. A snippet's repeated windows always overlap, so each gives one span; spans go back to all places where the snippet
    stands, and each document is cut once.
 
@@ -238,6 +240,33 @@ class Run:
             hits[self.member[own[ranked[twice]]], o] = True
 
 
+_PART = "p1 long, p2 long, x int, s1 long, s2 long, h long, lead int, n long, snippet binary"
+
+
+def _split(length: int, gram: int, width: int):
+    """Parts (s1, s2, h, lead, n, snippet) of snippets (p1, p2) and where they begin there: the windows whose offset, in bytes before the anchor, is of one block of ``width``."""
+    names = [x.split()[0] for x in _PART.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in _PART.split(", ")]
+
+    def parts(s1: int, s2: int, lead: int, n: int, snippet: bytes) -> Iterator[tuple]:
+        least = lead - (len(snippet) - length)
+        for block in range(least // width * width, lead + 1, width):
+            x, end = lead - min(lead, block + width - 1), lead - max(least, block) + length
+            head = snippet[lead - block : lead + length - min(block + width - 1, length - gram)]
+            key = xxhash.xxh3_128_digest(snippet[x:end])
+            h = int.from_bytes(xxhash.xxh3_64_digest(head, block), "big", signed=True)
+            yield s1, s2, x, int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), h, lead - x, n, snippet[x:end]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 10_000):
+                columns = (batch.column(c).slice(i, 10_000).to_pylist() for c in ("s1", "s2", "lead", "n", "snippet"))
+                rows = [part for row in zip(*columns, strict=True) for part in parts(*row)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
 _SPAN = "s1 long, s2 long, a int, b int"
 
 
@@ -356,22 +385,33 @@ class SuffixIndex:
         """k, th, a, b from the anchors (found: h, x0, x1, p) of each document that share their heads with others."""
         length = self.length
         cut = materialise(in_arrow(self.texts.join(found, ["k", "th"]).select("k", "th", "text", "found"), _cut(length), _SNIPPET), "snippets")
-        snippets = cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet")
-        hot = materialise(snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > self.most_snippets).select("h"), "hot")
-        dealt = snippets.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-        spans = in_arrow(dealt, _index(length, self.gram, self.batch_rows), _SPAN)
-        if not hot.isEmpty():
-            own = snippets.join(hot, "h", "left_semi").groupBy("s1", "s2").agg(F.first("snippet").alias("snippet"), F.sum("n").alias("n"))
-            windows = own.select("s1", "s2", "n", F.explode(F.sequence(F.lit(0), F.octet_length("snippet") - length)).alias("x"), "snippet")
-            windows = windows.select("s1", "s2", "n", "x", F.md5(F.expr(f"substring(snippet, x + 1, {length})")).alias("w"))
-            again = windows.groupBy("w").agg(F.sum("n").alias("c")).where("c > 1").select("w")
-            more = windows.join(again, "w", "left_semi").groupBy("s1", "s2").agg(F.min("x").alias("a"), (F.max("x") + length).alias("b"))
-            spans = spans.union(more.select("s1", "s2", F.col("a").cast("int"), F.col("b").cast("int")))
-        spans = materialise(spans, "spans")
-        self._scrap = [cut, spans, hot]
+        self._scrap = [cut]
+        width = 1
+        while 4 * width < length - self.gram + 1:
+            width *= 4
+        spans = materialise(self._repeats(cut.where("snippet is not null").select("s1", "s2", "h", "lead", "n", "snippet"), width), "spans")
+        self._scrap.append(spans)
         places = cut.where("snippet is null").select("k", "th", "x0", "s1", "s2").join(spans, ["s1", "s2"])
         return places.select("k", "th", (F.col("x0") + F.col("a")).alias("a"), (F.col("x0") + F.col("b")).alias("b"))
 
+    def _repeats(self, snippets: DataFrame, width: int) -> DataFrame:
+        """s1, s2, a, b: the span of repeated windows of each snippet that has some; heads with too many snippets are split by blocks of ``width`` offsets."""
+        keep = lambda rows: rows.groupBy("s1", "s2").agg(*(F.first(c).alias(c) for c in ("h", "lead", "snippet")), F.sum("n").alias("n"))
+        deal = lambda rows: in_arrow(rows.repartition("h").sortWithinPartitions("h"), _index(self.length, self.gram, self.batch_rows), _SPAN)
+        if not width:  # single windows
+            return deal(snippets)
+        hot = materialise(snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > self.most_snippets).select("h"), "hot")
+        self._scrap.append(hot)
+        if hot.isEmpty():
+            return deal(snippets)
+        spans = deal(snippets.join(hot, "h", "left_anti"))
+        parts = materialise(in_arrow(keep(snippets.join(hot, "h", "left_semi")), _split(self.length, self.gram, width), _PART), "parts")
+        own = materialise(keep(parts).select("s1", "s2", "h", "lead", "n", "snippet"), "own")
+        self._scrap += [parts, own]
+        inner = parts.select("p1", "p2", "x", "s1", "s2").join(self._repeats(own, width // 4), ["s1", "s2"])
+        inner = inner.groupBy(F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(F.min(F.col("a") + F.col("x")).alias("a"), F.max(F.col("b") + F.col("x")).alias("b"))
+        return spans.union(inner)
+
     def close(self) -> None:
         """Delete the levels."""
         discard(*(x for x in self.levels if x is not None))
