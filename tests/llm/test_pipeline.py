@@ -133,6 +133,16 @@ def test_stages_against_plain_python(spark, corpus, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in whole) == sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got)
 
 
+def test_languages_are_accepted_by_every_calibrating_row(spark):
+    """Of some 6,000 calibrating documents, the two oddest are accepted as well: both languages' limits come from all rows."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, lang, 4), lang, "s", 1) for i, lang in enumerate(rng.choices(["en", "de"], k=12_000))]
+    odd = [(20008, "xyzz", "en", "s", 1), (20017, "xyzz", "de", "s", 1)]
+    assert all(zlib.crc32(str(r[0]).encode()) % 2 == 1 for r in odd)  # the fold that calibrates
+    got = corpus_pipeline.identify(spark, spark.createDataFrame(rows + odd, SCHEMA).repartition(4), "")
+    assert {r.doc_id for r in got.where("text = 'xyzz'").collect()} == {r[0] for r in odd}
+
+
 def test_run_of_an_empty_table(spark, corpus, tmp_path):
     folder, _, _ = corpus
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
