@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, row_key
 from tidemark.llm.decontaminate import find_contamination
-from tidemark.llm.langid import fold, predict_languages, train_languages
+from tidemark.llm.langid import cross_train_languages, predict_languages
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import deal, mix_sources, mixed_order
 from tidemark.llm.queries import table, vocabulary
@@ -27,9 +27,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is accepted; lang becomes the predicted one."""
-    models = train_languages(docs.where(fold("doc_id", 2) == 0), docs.where(fold("doc_id", 2) == 1))
-    out = predict_languages(docs.withColumn("own", F.col("text")), models).where("accepted")
+    """Keep the documents whose language is accepted, by models of all labelled ones; lang becomes the predicted one."""
+    out = predict_languages(docs.withColumn("own", F.col("text")), cross_train_languages(docs)).where("accepted")
     return out.select("doc_id", F.col("own").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 

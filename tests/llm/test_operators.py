@@ -378,6 +378,44 @@ def test_languages_are_calibrated_on_every_row(spark):
     assert held.where("lang in ('a', 'b', 'c') and lang_pred = lang and not accepted").count() == 0
 
 
+def test_cross_trained_languages_count_and_calibrate_every_row(spark):
+    """Counts, temperature and highest accepted entropies of all rows, null and repeated ids among them, against numpy over all of them."""
+    rng = random.Random(5)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    rows = [(i % 900 or None, "".join(rng.choices(letters[x] + " ", k=40)), x) for i, x in enumerate(rng.choices("abc", k=3000))]
+    rows += [(1, "xyzz", "a"), (2, "qrst", "b"), (3, "qrst", "b"), (4, None, "a"), (5, "", "b"), (6, "12 !", "c"), (7, "abc", None), (8, "uvw uvw", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got, mapped = langid.cross_train_languages(frame), langid.cross_train_languages(frame, most_grams=10)
+    known = [(t, x, zlib.crc32(t.encode()) % 2) for _, t, x in rows if t and x]
+
+    def packed(texts):
+        return langid.grams(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t) for t in texts]))[:2]
+
+    def learned(some):
+        langs = sorted({x for _, x, _ in some})
+        return langid.LanguageModels({x: langid.KneserNey(*np.unique(packed([t for t, y, _ in some if y == x])[0], return_counts=True)) for x in langs})
+
+    whole = learned(known)
+    assert got.langs == mapped.langs == whole.langs == ["a", "b", "c", "d"]
+    for a, b in zip(whole.models, got.models, strict=True):
+        assert all((a.keys[k] == b.keys[k]).all() and (a.p[k] == b.p[k]).all() for k in (1, 2, 3, 4))
+    loss, top = np.zeros(len(langid._TEMPERATURES)), {}
+    for f in (0, 1):
+        half = learned([r for r in known if r[2] != f])
+        own = [r for r in known if r[2] == f and r[1] in half.langs and re.search("[a-z]", r[0])]
+        h, truth = half.entropies(*packed([t for t, _, _ in own])), np.array([half.langs.index(x) for _, x, _ in own])
+        loss += [-np.log(np.maximum(half.scores(h, t)[np.arange(len(own)), truth], 1e-12)).sum() for t in langid._TEMPERATURES]
+        for lang, x in zip((x for _, x, _ in own), h[np.arange(len(own)), truth], strict=True):
+            top[lang] = max(x, top.get(lang, x))
+    assert sorted(top) == ["a", "b", "c"]  # the only row of d is in one half
+    want = [top[x] + 0.25 * max(0.0, -np.log(m.uniform) - top[x]) if x in top else np.inf for x, m in zip(whole.langs, whole.models, strict=True)]
+    for models in (got, mapped):
+        assert models.temperature == langid._TEMPERATURES[int(np.argmin(loss))]
+        assert models.most_entropy == pytest.approx(want, rel=1e-6)
+    none = langid.cross_train_languages(frame.where("lang is null"))
+    assert none.langs == [] and {r.lang_pred for r in langid.predict_languages(frame, none).collect()} == {"und"}
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(60)) if i % 2 else "BUY NOW!! " * 40 for i in range(400)]

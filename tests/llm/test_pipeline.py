@@ -143,6 +143,17 @@ def test_languages_are_accepted_by_every_calibrating_row(spark):
     assert {r.doc_id for r in got.where("text = 'xyzz'").collect()} == {r[0] for r in odd}
 
 
+def test_languages_are_learned_from_every_row(spark):
+    """A language all of whose documents have ids of one remainder is learned as well, from whichever."""
+    rng = random.Random(13)
+    for side in (0, 1):
+        ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 2 == side]
+        rows = [(1000 + i, sentence(rng, lang, 20), lang, "s", 1) for i, lang in enumerate(["en", "de"] * 60)]
+        rows += [(i, " ".join("".join(rng.choices("uvwxyz", k=5)) for _ in range(20)), "fr", "s", 1) for i in ids[:40]]
+        got = corpus_pipeline.identify(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+        assert {r.doc_id: r.lang for r in got} == {r[0]: r[2] for r in rows}
+
+
 def test_run_of_an_empty_table(spark, corpus, tmp_path):
     folder, _, _ = corpus
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")

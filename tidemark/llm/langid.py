@@ -10,7 +10,9 @@ n-gram counts cover every training row. They are summed in the workers and by a
 ``most_grams`` distinct n-grams of four letters in all languages are made a model on the driver and broadcast. Where there
 are more, none is dropped: the same discounts, continuation counts and probabilities are made by shuffles, written to the
 shared folder as sorted arrays, and mapped into memory by the workers. Calibration reads every row of its fold too: workers
-sum the loss at each temperature, as whole numbers, and keep each language's highest cross-entropy.
+sum the loss at each temperature, as whole numbers, and keep each language's highest cross-entropy. Where no fold is to be
+held out, ``cross_train_languages`` counts and calibrates every row: models of each half are measured on the other one, and
+the models that predict are made of the counts of both.
 
 Null texts, empty texts and texts without letters are ``und`` with score 0 and not accepted; so is every text if there is
 no labelled row to learn from. Repeated rows are counted as often as they occur and predicted alike; of languages of equal
@@ -22,7 +24,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -375,14 +377,14 @@ def _predict(shared):
     return run
 
 
-def train_languages(labelled: DataFrame, calibration: DataFrame, most_grams: int = 4_000_000, spare: float = 0.25) -> LanguageModels:
-    """Models learned from all rows (text, lang) of ``labelled``, calibrated on all of ``calibration`` whose lang they know.
-
-    most_grams: up to so many n-grams the models are broadcast, beyond it mapped from the shared folder; results are the same.
-    spare: where the highest accepted entropy lies between the highest of ``calibration`` (0) and that of random letters (1).
-    """
+def _counted(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often n-grams of four letters occur in all rows (text, lang) of a language."""
     counts = in_arrow(labelled.where("lang is not null and text is not null").select("lang", "text"), _count, "lang string, gram long, n long")
-    counts = materialise(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    return materialise(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def _learned(counts: DataFrame, most_grams: int) -> LanguageModels:
+    """The models of (lang, gram, n), not calibrated."""
     models = {}
     if counts.count() > most_grams:
         models = _mapped_models(counts)
@@ -394,15 +396,59 @@ def train_languages(labelled: DataFrame, calibration: DataFrame, most_grams: int
             own = langs == lang
             order = np.argsort(keys[own].view(np.uint64))
             models[lang] = KneserNey(keys[own].view(np.uint64)[order], n[own][order])
-    out = LanguageModels(models)
-    if models:
-        known = calibration.where(F.col("lang").isin(*out.langs) & F.col("text").isNotNull()).select("lang", "text")
-        shared = labelled.sparkSession.sparkContext.broadcast(out)  # most_grams n-grams at most, or the names of pieces
+    return LanguageModels(models)
+
+
+def _measured(models: LanguageModels, rows: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
+    """The loss at each temperature and each language's highest entropy, over all ``rows`` (text, lang) whose lang the models know."""
+    losses, highest = np.zeros(len(_TEMPERATURES), np.int64), {}
+    if models.langs:
+        known = rows.where(F.col("lang").isin(*models.langs) & F.col("text").isNotNull()).select("lang", "text")
+        shared = rows.sparkSession.sparkContext.broadcast(models)  # most_grams n-grams at most, or the names of pieces
         got = in_arrow(known, _calibration(shared), _LOSS).groupBy("lang", "t").agg(F.max("highest").alias("highest"), F.sum("loss").alias("loss"))
-        got = got.collect()  # a row for each language and temperature
-        if got:
-            losses = np.array([r.loss for r in sorted((r for r in got if r.lang is None), key=lambda r: r.t)])
-            out.calibrate(losses, {r.lang: r.highest for r in got if r.lang is not None}, spare)
+        for r in got.collect():  # a row for each language and temperature
+            if r.lang is None:
+                losses[r.t] = r.loss
+            else:
+                highest[r.lang] = r.highest
+        shared.destroy()
+    return losses, highest
+
+
+def train_languages(labelled: DataFrame, calibration: DataFrame, most_grams: int = 4_000_000, spare: float = 0.25) -> LanguageModels:
+    """Models learned from all rows (text, lang) of ``labelled``, calibrated on all of ``calibration`` whose lang they know.
+
+    most_grams: up to so many n-grams the models are broadcast, beyond it mapped from the shared folder; results are the same.
+    spare: where the highest accepted entropy lies between the highest of ``calibration`` (0) and that of random letters (1).
+    """
+    out = _learned(_counted(labelled), most_grams)
+    losses, highest = _measured(out, calibration)
+    if highest:
+        out.calibrate(losses, highest, spare)
+    return out
+
+
+def cross_train_languages(labelled: DataFrame, folds: int = 2, most_grams: int = 4_000_000, spare: float = 0.25) -> LanguageModels:
+    """Models learned from all rows (text, lang) of ``labelled`` and calibrated on all of them: each fold by models of the other folds.
+
+    folds: by a hash of the text, so that copies are never on both sides. A language that has rows in one fold only is learned, but
+    has no limit of entropy, as nothing measures it. most_grams, spare: as for ``train_languages``.
+    """
+    parts = [labelled.where(fold("text", folds) == f) for f in range(folds)]
+    counts = [_counted(part) for part in parts]
+
+    def together(tables: list[DataFrame]) -> DataFrame:
+        return tables[0] if len(tables) == 1 else materialise(reduce(DataFrame.union, tables).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+
+    losses, highest = np.zeros(len(_TEMPERATURES), np.int64), {}
+    for f, part in enumerate(parts):
+        more, tops = _measured(_learned(together(counts[:f] + counts[f + 1 :]), most_grams), part)
+        losses += more
+        for lang, top in tops.items():
+            highest[lang] = max(top, highest.get(lang, top))
+    out = _learned(together(counts), most_grams)
+    if highest:
+        out.calibrate(losses, highest, spare)
     return out
 
 
@@ -417,7 +463,7 @@ def predict_languages(documents: DataFrame, models: LanguageModels) -> DataFrame
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
-    """crc32 of the id as text, modulo n; null ids are fold 0."""
+    """crc32 of the id (or whatever column) as text, modulo n; nulls are fold 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string")) % n, F.lit(0))
 
