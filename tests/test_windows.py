@@ -1,12 +1,14 @@
 """Golden cases and invariants of the window engine."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordered
 from tidemark.functions.hashing import crc32c, fnv1a, fnv1a_column, unsigned_mod
 from tidemark.model import StreamConfig
-from tidemark.operators import emissions, lateness, merge, watermark, windows
+from tidemark.operators import emissions, lateness, merge, partition, watermark, windows
 from tidemark.sources.generator import GeneratorConfig, generate
 
 SCHEMA = "offset long, key string, value long, e long"
@@ -134,3 +136,13 @@ def test_busy_spans_are_cut_finer(spark):
         out = ordered.dense_offsets(cut, bucket, [F.col("t"), F.col("id")])
         assert [r.t for r in out.orderBy("offset").collect()] == list(range(3000))
         assert cut.select(bucket).distinct().count() == (30 if limits else 3)
+
+
+def test_a_filter_by_partition_hashes_no_rows(spark, tmp_path):
+    spark.range(100).select(F.concat(F.lit("k"), F.col("id") % 10).alias("key"), F.col("id").alias("value")).write.parquet(str(tmp_path / "rows"))
+    sums = spark.read.parquet(str(tmp_path / "rows")).groupBy("key").agg(F.sum("value").alias("sum"))
+    for part in (0, 1):
+        own = partition.with_partition(sums, 2).where(F.col("p") == part)
+        assert sorted(map(tuple, own.collect())) == [(k, 450 + 10 * i, part) for i in range(10) if fnv1a((k := f"k{i}").encode()) % 2 == part]
+        below = re.findall(r"Filter .*aggregate\(.*\n\W*(\w+)", own._jdf.queryExecution().optimizedPlan().toString())
+        assert below == ["Aggregate"]

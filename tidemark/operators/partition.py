@@ -16,8 +16,13 @@ def partition_of(key: Column, n: int) -> Column:
 
 
 def with_partition(rows: DataFrame, n: int, name: str = "p") -> DataFrame:
-    """``rows`` with the partition of their key; keys are hashed once each."""
-    keys = rows.select("key").distinct().select("key", partition_of(F.col("key"), n).alias(name))
+    """``rows`` with the partition of their key; keys are hashed once each.
+
+    What is hashed depends on an aggregate: the optimiser would push a filter by partition below a plain ``distinct``,
+    and over the join, where it hashes the key of every row.
+    """
+    keys = rows.groupBy("key").agg(F.count("*").alias("_n"))
+    keys = keys.select("key", partition_of(F.when(F.col("_n") > 0, F.col("key")), n).alias(name))
     return rows.join(keys, "key")
 
 
