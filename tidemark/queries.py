@@ -209,14 +209,14 @@ def recovery_union(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint.recovery_union(run.log(), SNAPSHOT // run.config.interval, CRASH // run.config.interval, run.config)
 
 
-def _snapshot(store: CheckpointStore, run: Run, offset: int, part: int | None = None) -> None:
-    """Write the state after ``offset`` records, of one partition or of all."""
-    panes = checkpoint.panes_at(run.pairs, run.fires, run.wms, offset, run.config)
-    marks = checkpoint.window_marks(panes, run.late, offset, run.config)
-    if part is not None:
-        panes = partition.with_partition(panes, PARTS).where(F.col("p") == part)
+def _snapshot(stores: list[CheckpointStore], run: Run, offset: int) -> None:
+    """Write the state after ``offset`` records: to each store the panes of its partition, and all windows. The sums are taken once."""
+    panes = written(checkpoint.panes_at(run.pairs, run.fires, run.wms, offset, run.config), "panes")
+    marks = written(checkpoint.window_marks(panes, run.late, offset, run.config), "marks")
     wm = run.wms.where(F.col("j") == offset // run.config.interval).first()
-    store.write(offset, wm.wm if wm else None, panes, marks)
+    for part, store in enumerate(stores):
+        own = partition.with_partition(panes, len(stores)).where(F.col("p") == part) if len(stores) > 1 else panes
+        store.write(offset, wm.wm if wm else None, own, marks)
 
 
 def _shown(snapshot: Snapshot, run: Run) -> DataFrame:
@@ -227,7 +227,7 @@ def _shown(snapshot: Snapshot, run: Run) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot as loaded from its files."""
     run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
-    _snapshot(store, run, SNAPSHOT)
+    _snapshot([store], run, SNAPSHOT)
     return _shown(store.load(SNAPSHOT), run)
 
 
@@ -235,7 +235,7 @@ def torn_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The newest of two snapshots is torn: the one before it is loaded."""
     run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
     for offset in (SNAPSHOT - BARRIER, SNAPSHOT):
-        _snapshot(store, run, offset)
+        _snapshot([store], run, offset)
     store.folder.delete(f"checkpoint-{SNAPSHOT}/windows")
     return _shown(store.load_latest(), run)
 
@@ -243,19 +243,19 @@ def torn_fallback(spark: SparkSession, d: str) -> DataFrame:
 def restore_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Results of a run restored from stored files and replayed after them."""
     run, store = Run(spark, d, TUMBLING_LATE), CheckpointStore(spark, scratch_folder(spark, "checkpoints"))
-    _snapshot(store, run, SNAPSHOT)
+    _snapshot([store], run, SNAPSHOT)
     snapshot = store.load_latest()
     return checkpoint.restore(run.pairs, snapshot.panes, run.log(), snapshot.offset, run.config)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """The snapshots that partitions have of the last two barriers; the last set is torn, one partition's manifest is gone."""
-    run = Run(spark, d, TUMBLING_LATE)
-    last = barrier_offsets(spark, d).agg(F.max("cut_offset").alias("last")).first().last
+    run = Run(spark, d, TUMBLING_LATE, written(tables.event_stream(spark, d), "stream"))
+    last = checkpoint.barriers(run.stream, BARRIER).agg(F.max("cut_offset").alias("last")).first().last or 0
     stores = partition_stores(spark, scratch_folder(spark, "checkpoints"), PARTS)
-    for part, store in enumerate(stores):
-        for offset in (last - BARRIER, last):
-            _snapshot(store, run, offset, part)
+    for offset in (last - BARRIER, last):
+        if offset > 0:  # a short stream has one barrier or none
+            _snapshot(stores, run, offset)
     stores[0].folder.delete(f"checkpoint-{last}/manifest")
     return checkpoint_files(spark, stores)
 
